@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import common, packing, sstable
+from plinth.llm import archives, common, fingerprint, packing, sharding, sstable, toxicity, urlfilter
 
 
 def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,37 @@ def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    arcs = archives.write_arcs(pages, common.scratch(spark, "arc"))
+    warcs = archives.convert(spark, arcs, common.scratch(spark, "warc"))
+    return archives.read_pages(spark, warcs)
+
+
+def op6_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir)).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(common.documents(spark, sf_dir))
+
+
+def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_sstable": op1_token_sstable,
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
+    "op3_arc_to_warc": op3_arc_to_warc,
+    "op6_url_automaton": op6_url_automaton,
+    "op7_bounded_ring_shards": op7_bounded_ring_shards,
+    "op8_chunk_fingerprints": op8_chunk_fingerprints,
+    "op10_weak_supervision_toxicity": op10_weak_supervision_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_automaton": urlfilter.ORACLE}
