@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Words remembered by a worker; the memory is emptied beyond (about 200 bytes a word).
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _LONGEST_REMEMBERED = 40
 #: A space between two characters that are no white space always starts a new pre-token of this family of tokenizers.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -36,6 +38,16 @@ class _Words(dict):
         return ids
 
 
+_MARKS = frozenset(".,;:!?")
+
+
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
 def _byte_chars() -> dict[int, str]:
     """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 as it is, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -68,17 +80,19 @@ class Encoder:
         return cls._made[path]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def _after_space(self, word: str) -> bytes:
         if word.isalpha():  # one pre-token: straight to the library's BPE model
             chars = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.table))
-            return np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+            return _bytes([t.id for t in self.model.tokenize(chars)])
+        if word[-1] in _MARKS and word[:-1].isalpha():  # the mark is a pre-token of its own
+            return self.spaced[word[:-1]] + self.plain[word[-1]]
         return self._whole(" " + word)
 
     def _line(self, line: str) -> bytes | None:
         words = line.split(" ")
-        if words != line.split():
+        if "" in words or not line.isprintable():  # printable text has no white space but the space
             return None
         return self.plain[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
 
