@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -79,3 +80,15 @@ def texts(df: DataFrame, *more: str) -> DataFrame:
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def stream(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of batches as tuples of the named columns."""
+    for batch in batches:
+        yield from zip(*(column(batch, n) for n in names))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose DataFrames are gone (else they stay until a late collection)."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import archives, common, fingerprint, packing, sharding, sstable, toxicity, urlfilter
+from plinth.llm import archives, common, fingerprint, minhash, packing, repeats, sharding, sstable, toxicity, urlfilter
 
 
 def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.read_pages(spark, warcs)
 
 
+def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.documents(spark, sf_dir), percent=85)
+
+
 def op6_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -39,6 +43,10 @@ def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(common.documents(spark, sf_dir))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(common.documents(spark, sf_dir))
+
+
 def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,9 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_sstable": op1_token_sstable,
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
     "op3_arc_to_warc": op3_arc_to_warc,
+    "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
     "op6_url_automaton": op6_url_automaton,
     "op7_bounded_ring_shards": op7_bounded_ring_shards,
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_weak_supervision_toxicity": op10_weak_supervision_toxicity,
 }
 ORACLES: dict[str, str] = {"op6_url_automaton": urlfilter.ORACLE}
