@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import archives, common, fingerprint, minhash, packing, repeats, sharding, sstable, toxicity, urlfilter
+from plinth.llm import archives, common, decontaminate, fingerprint, minhash, packing, repeats, sharding, sstable, toxicity, urlfilter
 
 
 def op1_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(common.documents(spark, sf_dir), percent=85)
 
 
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_minhash_near_duplicates": op4_minhash_near_duplicates,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_url_automaton": op6_url_automaton,
     "op7_bounded_ring_shards": op7_bounded_ring_shards,
     "op8_chunk_fingerprints": op8_chunk_fingerprints,
