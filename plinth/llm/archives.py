@@ -156,7 +156,8 @@ def write_arcs(pages: DataFrame, path: str) -> list[str]:
                     out.write(_member(arc_bytes(version, fields, head + payload)))
         yield pa.RecordBatch.from_pylist([{"file": f"{path}/{name}"}])
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(write, "file string").collect()  # a row a file
+    common.small_batches(pages.sparkSession)
+    rows = pages.select("page_id", "url", "html").mapInArrow(common.tidy(write), "file string").collect()  # a row a file
     return sorted(r.file for r in rows)
 
 
@@ -178,7 +179,7 @@ def convert(spark: SparkSession, arcs: list[str], path: str, min_bytes: int = 0)
                         rows.append({"file": k, "seq": seq, "page_id": None if mark is None else int(mark), "digest": base32_sha1(payload), "size": len(payload)})
                 yield pa.RecordBatch.from_pylist(rows, out)
 
-    index = common.cut(spark.range(0, n, 1, n).mapInArrow(scan, "file long, seq long, page_id long, digest string, size long"), "arc-index")
+    index = common.cut(spark.range(0, n, 1, n).mapInArrow(common.tidy(scan), "file long, seq long, page_id long, digest string, size long"), "arc-index")
     order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("page_id"), F.col("file").alias("file"), F.col("seq").alias("seq"))
     firsts = common.cut(index.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first")), "arc-firsts")
     decided = (
@@ -218,7 +219,7 @@ def convert(spark: SparkSession, arcs: list[str], path: str, min_bytes: int = 0)
         yield pa.RecordBatch.from_pylist([{"file": f} for f in made], pa.schema([("file", pa.string())]))
 
     ordered = decided.repartition(n, "file").sortWithinPartitions("file", "seq")
-    return sorted(r.file for r in ordered.mapInArrow(write, "file string").collect())  # a row a file
+    return sorted(r.file for r in ordered.mapInArrow(common.tidy(write), "file string").collect())  # a row a file
 
 
 def warc_of(record: ArcRecord, arcs: list[str], row: dict) -> bytes:
@@ -270,4 +271,4 @@ def read_pages(spark: SparkSession, warcs: list[str]) -> DataFrame:
                         rows.append({"page_id": mark and int(mark), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": to and int(to), "url": headers["warc-target-uri"], "record_id": headers["warc-record-id"].strip("<>")})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.range(0, len(warcs), 1, len(warcs)).mapInArrow(read, text)
+    return spark.range(0, len(warcs), 1, len(warcs)).mapInArrow(common.tidy(read), text)

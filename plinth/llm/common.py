@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bounds of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Used only where the session names no shared folder (local mode, tests).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/plinth"
 
@@ -73,8 +76,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes, so that a worker holds little at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that trims its worker's memory when it is done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) alone; extra columns can't clash with what an operator adds."""
+    small_batches(df.sparkSession)
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

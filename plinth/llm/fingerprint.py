@@ -151,5 +151,5 @@ def compare(docs: DataFrame) -> DataFrame:
             yield emit(group)
 
     return neighbours(docs).select("_part", "_halo", "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        common.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

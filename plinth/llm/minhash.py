@@ -86,7 +86,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat((flat * m) >> np.uint64(32), at).astype(np.uint32) for m in _MULTIPLIERS], 1)
 
 
-def in_pieces(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
+def in_pieces(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
     """Slices of texts of about `most` characters together."""
     start = held = 0
     for k, t in enumerate(texts):
@@ -120,7 +120,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     schema=schema,
                 )
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, key long, signature array<int>")
+    return common.texts(docs).mapInArrow(common.tidy(run), "doc_id long, n_shingles long, digest binary, key long, signature array<int>")
 
 
 def _clusters(classes: DataFrame, matches: int) -> DataFrame:
@@ -204,7 +204,7 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, matches: in
 
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     spread = (
-        rows.mapInArrow(sets_of, "doc_id long, component long, blocks int, shingles binary")
+        rows.mapInArrow(common.tidy(sets_of), "doc_id long, component long, blocks int, shingles binary")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "shingles")
@@ -222,7 +222,7 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, matches: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
     keyed = spread.repartition(common.partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    return keyed.mapInArrow(compare, "a long, b long")
+    return keyed.mapInArrow(common.tidy(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

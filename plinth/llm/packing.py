@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return common.texts(docs).mapInArrow(encode, "part int, lrank long, doc_id long, piece int, start long, length long, ids binary")
+    return common.texts(docs).mapInArrow(common.tidy(encode), "part int, lrank long, doc_id long, piece int, start long, length long, ids binary")
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -143,7 +143,7 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(locate, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(common.tidy(locate), f"{fields}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

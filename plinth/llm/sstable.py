@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     spark = docs.sparkSession
     ranged = common.texts(docs).repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(ranged.mapInArrow(write, "shard long, path string, keys long, ids long").collect(), key=lambda r: r.shard)
+    rows = sorted(ranged.mapInArrow(common.tidy(write), "shard long, path string, keys long, ids long").collect(), key=lambda r: r.shard)
     manifest, start = [], 0
     for r in rows:
         manifest.append(r.asDict() | {"start": start})
@@ -229,4 +229,4 @@ def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, out)
 
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(read, schema)
+    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(common.tidy(read), schema)

@@ -12,7 +12,7 @@ import numpy as np
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Words remembered by a worker; the memory is emptied beyond (about 200 bytes a word).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _LONGEST_REMEMBERED = 40
 #: A space between two characters that are no white space always starts a new pre-token of this family of tokenizers.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")

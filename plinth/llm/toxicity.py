@@ -169,7 +169,7 @@ def _mine(sample: DataFrame) -> list[tuple[str, int]]:
             for i in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 50_000], pa.schema([("stem", pa.string()), ("least", pa.int32()), ("n", pa.int64())]))
 
-        return sample.mapInArrow(run, "stem string, least int, n long").groupBy("stem", "least").agg(F.sum("n").alias("n"))
+        return sample.mapInArrow(common.tidy(run), "stem string, least int, n long").groupBy("stem", "least").agg(F.sum("n").alias("n"))
 
     size = dict(sample.groupBy("toxic").count().collect())
     if not size.get(0) or not size.get(1):
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 rows.append({"toxic": toxic, "at": list(f), "value": list(f.values())})
             yield pa.RecordBatch.from_pylist(rows, out)
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(run, "toxic int, at array<int>, value array<double>").collect())  # the sample's bound
+    rows = sorted(tuple(r) for r in sample.mapInArrow(common.tidy(run), "toxic int, at array<int>, value array<double>").collect())  # the sample's bound
     gold = np.array([r[0] for r in rows], np.float64)
     fallback = np.zeros(model.width)
     fallback[len(model.voters) + 3] = 6.0
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return common.texts(docs).mapInArrow(common.tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -238,4 +238,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t or "") < 0.5 for t in common.column(batch, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    common.small_batches(docs.sparkSession)
+    return docs.mapInArrow(common.tidy(run), docs.schema)

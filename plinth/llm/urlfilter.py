@@ -133,7 +133,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, globs
             )
 
     url = F.col("url")
-    return pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")).mapInArrow(common.tidy(run), "page_id long, host string, path string, rule string, verdict string")
 
 
 ORACLE = r"""
