@@ -14,7 +14,7 @@ doc_id, or the same text further left) is removed with all bytes it covers. As t
 Content is compared by 64-bit hashes within a trigger (step 3) and 128-bit hashes of phrases (step 2).
 
 Defined cases: null text is empty; texts shorter than the window lose nothing; a null doc_id comes before all others;
-of different texts with equal doc_ids the order is that of their hashes; rows equal in doc_id and text are one document
+of different texts with equal doc_ids either may count as the earlier, phrase by phrase; rows equal in doc_id and text are one document
 and get equal results; very long texts are parsed in overlapping segments, with the same result; an empty table gives
 no rows; extra columns are kept by attach() and without().
 """
@@ -35,13 +35,16 @@ from plinth.llm.phrases import Phrases
 WINDOW = 100
 SHARE = 512
 BUCKETS = 4096
-SEGMENT_BYTES = 1 << 22
-GROUP_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20
+#: Phrases settled together in step 1.
+SETTLED = 400_000
 _LOWEST = -(1 << 63)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """_id (doc_id, null lowest) and _dk (hash of doc_id and text) name a document."""
+    common.small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("_id"), F.xxhash64("doc_id", text).alias("_dk"), text.alias("_text"), *more)
 
@@ -75,46 +78,53 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
-    """_id, _dk, places: the phrases of each document whose trigger occurs more than once."""
+    """_dk, places: the phrases of each document whose trigger occurs more than once. (Documents with equal hashes share
+    their places, which only names more phrases than need be.)"""
 
     def ask(batches):
-        key, ids, dks, at = [], [], [], []
+        """key, _dk, mark: mark is 4 times the place, and 0 for a trigger that is once in this portion, 1 for the first
+        of several, 2 for another of them, which needs no answer and so gets a key of its own."""
+        held, size = [], 0
+
+        def portion():
+            key, dks, at = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key, kind="stable")
+            key, dks, at = key[order], dks[order], at[order]
+            fresh = np.concatenate([[True], key[1:] != key[:-1]])
+            again = np.concatenate([~fresh[1:], [False]])
+            key = np.where(fresh, key, hashing.pair_hash(dks.view(np.uint64), at.astype(np.uint64)))
+            mark = at * 4 + np.where(fresh, again, 2)
+            for i in range(0, len(key), 50_000):
+                j = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([_signed(key[j]), pa.array(dks[j]), pa.array(mark[j])], ["key", "_dk", "mark"])
+
         for batch in batches:
-            id_, dk = _longs(batch, "_id"), _longs(batch, "_dk")
+            dk = _longs(batch, "_dk")
             for p, rows, offsets in _parsed(batch, window):
-                row = rows[p.text]
-                key.append(p.trigger)
-                ids.append(id_[row])
-                dks.append(dk[row])
-                at.append(p.first - p.starts[p.text] + offsets[p.text])
-        if not key:
-            return
-        key, ids, dks, at = (np.concatenate(x) for x in (key, ids, dks, at))
-        order = np.argsort(key, kind="stable")
-        key, ids, dks, at = key[order], ids[order], dks[order], at[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        again = np.concatenate([~fresh[1:], [False]])[: len(key)]
-        flag = np.where(fresh, again, 2).astype(np.int32)  # 0: once here; 1: first of several here; 2: another of them
-        key = np.where(fresh, key, hashing.pair_hash(dks.view(np.uint64), at.astype(np.uint64)))
-        for i in range(0, len(key), 100_000):
-            j = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([_signed(key[j]), pa.array(flag[j]), pa.array(ids[j]), pa.array(dks[j]), pa.array(at[j].astype(np.int32))], ["key", "flag", "_id", "_dk", "at"])
+                if len(p.first):
+                    held.append((p.trigger, dk[rows[p.text]], p.first - p.starts[p.text] + offsets[p.text]))
+                    size += len(p.first)
+            if size > SETTLED:
+                yield from portion()
+                held, size = [], 0
+        if held:
+            yield from portion()
 
     def answer(batches):
-        names = ("key", "flag", "_id", "_dk", "at")
         held = None
 
-        def settle(key, flag, id_, dk, at):
+        def settle(key, dk, mark):
+            flag = mark & 3
             asks = flag < 2
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
             many = np.bincount(group, asks + 2 * (flag == 1)) > 1
             yes = ~asks | many[group]
-            return pa.RecordBatch.from_arrays([pa.array(id_[yes]), pa.array(dk[yes]), pa.array(at[yes].astype(np.int32))], ["_id", "_dk", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(dk[yes]), pa.array((mark[yes] >> 2).astype(np.int32))], ["_dk", "at"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [_longs(batch, n) for n in names]
+            now = [_longs(batch, n) for n in ("key", "_dk", "mark")]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = int(np.searchsorted(now[0], now[0][-1], "left"))  # keys come in order
@@ -124,9 +134,9 @@ def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
         if held is not None:
             yield settle(*held)
 
-    asked = keyed(docs).mapInArrow(ask, "key long, flag int, _id long, _dk long, at int")
+    asked = keyed(docs).select("_dk", "_text").mapInArrow(common.tidy(ask), "key long, _dk long, mark long")
     dealt = asked.repartition(common.partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(answer, "_id long, _dk long, at int").groupBy("_id", "_dk").agg(F.collect_list("at").alias("places"))
+    return dealt.mapInArrow(common.tidy(answer), "_dk long, at int").groupBy("_dk").agg(F.collect_list("at").alias("places"))
 
 
 def _picked(batch: pa.RecordBatch, window: int, column: str) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,7 +157,8 @@ def _picked(batch: pa.RecordBatch, window: int, column: str) -> Iterator[tuple[P
 
 
 def _occurrences(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """e1, e2 (hash of the bytes), trigger, _id, _dk, at, windows of the phrases in places."""
+    """e1, e2 (hash of the bytes), trigger, _id, _dk, at, windows of the phrases in places; again
+    is set where the same bytes stand further left in the same document."""
 
     def run(batches):
         for batch in batches:
@@ -155,12 +166,14 @@ def _occurrences(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
             for p, own, row, at, _ in _picked(batch, window, "places"):
                 start = p.first[own]
                 end = start + p.windows[own] + window - 1
+                e1, e2 = p.ranges.of(start, end), hashing.Ranges(p.data, 1).of(start, end)
+                again = _later(hashing.pair_hash(hashing.pair_hash(e1, e2), row.astype(np.uint64)), at)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(p.ranges.of(start, end)), _signed(hashing.Ranges(p.data, 1).of(start, end)), _signed(p.trigger[own]), pa.array(id_[row]), pa.array(dk[row]), pa.array(at.astype(np.int32)), pa.array(p.windows[own].astype(np.int32))],
-                    ["e1", "e2", "trigger", "_id", "_dk", "at", "windows"],
+                    [_signed(e1), _signed(e2), _signed(p.trigger[own]), pa.array(id_[row]), pa.array(dk[row]), pa.array(at.astype(np.int32)), pa.array(p.windows[own].astype(np.int32)), pa.array(again)],
+                    ["e1", "e2", "trigger", "_id", "_dk", "at", "windows", "again"],
                 )
 
-    return keyed(docs).join(places, ["_id", "_dk"]).mapInArrow(run, "e1 long, e2 long, trigger long, _id long, _dk long, at int, windows int")
+    return keyed(docs).join(places, "_dk").mapInArrow(common.tidy(run), "e1 long, e2 long, trigger long, _id long, _dk long, at int, windows int, again boolean")
 
 
 def _contexts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
@@ -176,7 +189,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
                 got = [raw[a:b] for a, b in zip(p.first[own].tolist(), (p.first[own] + p.windows[own] + window - 1).tolist())]
                 yield pa.RecordBatch.from_arrays([_signed(p.trigger[own]), pa.array(shares[k]), pa.array(share[k]), pa.array(id_[row]), pa.array(dk[row]), pa.array(at.astype(np.int32)), pa.array(got, pa.binary())], schema=out)
 
-    return keyed(docs).join(chosen, ["_id", "_dk"]).mapInArrow(run, "trigger long, shares int, share int, _id long, _dk long, at int, bytes binary")
+    return keyed(docs).withColumn("_low", F.col("_dk").bitwiseAND(0xFFFFFFFF)).join(chosen, ["_id", "_low"]).mapInArrow(common.tidy(run), "trigger long, shares int, share int, _id long, _dk long, at int, bytes binary")
 
 
 def _later(content: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -247,7 +260,7 @@ def _ordered(contexts: DataFrame, window: int) -> DataFrame:
             yield from order(rows)
 
     n = common.partitions(contexts.sparkSession)
-    return contexts.repartition(n, "trigger", "share").sortWithinPartitions("trigger", "share").mapInArrow(run, _ORDERED)
+    return contexts.repartition(n, "trigger", "share").sortWithinPartitions("trigger", "share").mapInArrow(common.tidy(run), _ORDERED)
 
 
 def _across(packed: DataFrame, window: int) -> DataFrame:
@@ -263,28 +276,34 @@ def _across(packed: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(spans[0]), pa.array(spans[1]), pa.array(spans[2].astype(np.int32)), pa.array(spans[3].astype(np.int32))], ["_id", "_dk", "s", "e"])
 
     n = common.partitions(packed.sparkSession)
-    return packed.repartition(n, "trigger", "bucket").sortWithinPartitions("trigger", "bucket").mapInArrow(run, "_id long, _dk long, s int, e int")
+    return packed.repartition(n, "trigger", "bucket").sortWithinPartitions("trigger", "bucket").mapInArrow(common.tidy(run), "_id long, _dk long, s int, e int")
 
 
 def _dictionary(occurrences: DataFrame) -> DataFrame:
-    return common.cut(
-        occurrences.groupBy("e1", "e2").agg(F.min(F.struct("_id", "_dk", "at")).alias("f"), F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")), "dictionary"
-    )
+    """First occurrence of each phrase: e1, e2, trigger, _id, tail (32 bits of _dk, then the place), n. Long values with
+    long orderings aggregate by hash; a document has one row a phrase, so _id orders them (equal doc_ids: any one)."""
+    tail = F.shiftleft("_dk", 32).bitwiseOR(F.col("at").cast("long"))
+    rows = occurrences.where("NOT again").select("e1", "e2", "trigger", "_id", tail.alias("tail"))
+    return common.cut(rows.groupBy("e1", "e2").agg(F.min("_id").alias("f_id"), F.min_by("tail", "_id").alias("f_tail"), F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")), "dictionary")
 
 
 def _chosen(dictionary: DataFrame) -> DataFrame:
     """Dictionary phrases that share their trigger with others, gathered by document."""
     counts = common.cut(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "trigger-counts")
-    rows = dictionary.select("trigger", "f._id", "f._dk", "f.at", "e1").join(counts, "trigger").withColumn("share", F.pmod(F.col("e1"), F.col("shares")).cast("int"))
-    lists = rows.groupBy("_id", "_dk").agg(F.collect_list(F.struct("at", "shares", "share")).alias("x"))
-    return common.cut(lists.select("_id", "_dk", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
+    share = F.pmod(F.col("e1"), F.col("shares")).cast("int")
+    place = F.col("f_tail").bitwiseAND(0x7FFFFFFF).cast("int")
+    rows = dictionary.join(counts, "trigger").select(F.col("f_id").alias("_id"), F.shiftrightunsigned("f_tail", 32).alias("_low"), F.struct(place.alias("at"), "shares", share.alias("share")).alias("x"))
+    lists = rows.groupBy("_id", "_low").agg(F.collect_list("x").alias("x"))
+    return common.cut(lists.select("_id", "_low", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
 
 
 def _copied(occurrences: DataFrame, dictionary: DataFrame, window: int) -> DataFrame:
     """Spans of phrases that are not the first of their bytes."""
-    first = (F.col("f._id") == F.col("_id")) & (F.col("f._dk") == F.col("_dk")) & (F.col("f.at") == F.col("at"))
-    several = dictionary.where("n > 1").select("e1", "e2", "f")
-    return occurrences.join(several, ["e1", "e2"]).where(~first).select("_id", "_dk", F.col("at").alias("s"), (F.col("at") + F.col("windows") + window - 1).alias("e"))
+    tail = F.shiftleft("_dk", 32).bitwiseOR(F.col("at").cast("long"))
+    end = F.col("at") + F.col("windows") + window - 1
+    several = dictionary.where("n > 1").select("e1", "e2", "f_id", "f_tail")
+    found = occurrences.where("NOT again").join(several, ["e1", "e2"]).where(~((F.col("f_id") == F.col("_id")) & (F.col("f_tail") == tail)))
+    return found.unionByName(occurrences.where("again"), allowMissingColumns=True).select("_id", "_dk", F.col("at").alias("s"), end.alias("e"))
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -344,7 +363,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept_bytes(data, runs)).hexdigest()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return attach(docs.select("doc_id", "text"), window).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return attach(docs.select("doc_id", "text"), window).mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -367,4 +386,4 @@ def without(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns.append((f.name, value))
             yield pa.RecordBatch.from_arrays([v for _, v in columns], [n for n, _ in columns])
 
-    return attach(docs, window).mapInArrow(run, docs.schema)
+    return attach(docs, window).mapInArrow(common.tidy(run), docs.schema)
