@@ -89,11 +89,12 @@ class Index:
             self.blocks[k] = fingerprints((signs(s) * self.weight(s)[:, None]).sum(0, keepdims=True))[0]
         near = RADIUS // BLOCKS
         flips = np.array([sum(1 << b for b in bits) for n in range(near + 1) for bits in combinations(range(16), n)], np.uint16)
-        self.posting = []
+        self.widths, rank = np.unique(self.sizes, return_inverse=True)
+        self.posting = []  # by block: (size, value near an item's block), in order, and the item
         for block in self.blocks.T:
-            value = (block[:, None] ^ flips[None]).ravel()
-            order = np.argsort(value, kind="stable")
-            self.posting.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), (order // len(flips)).astype(np.int32)))
+            code = (rank[:, None] << 16 | (block[:, None] ^ flips[None])).ravel().astype(np.uint32)
+            order = np.argsort(code, kind="stable")
+            self.posting.append((code[order], (order // len(flips)).astype(np.int32)))
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -101,37 +102,43 @@ class Index:
         k = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
         return np.where(self.known[k] == shingles, self.weights[k], HEAVIEST)
 
-    def near(self, prints: np.ndarray, item_ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within RADIUS among the items allowed."""
+    def holds(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles some item has."""
+        out = self.filter[shingles & np.uint64((1 << _FILTER_BITS) - 1)]
+        at = np.flatnonzero(out)
+        if len(at):
+            k = np.minimum(np.searchsorted(self.known, shingles[at]), len(self.known) - 1)
+            out[at] = self.known[k] == shingles[at]
+        return out
+
+    def near(self, prints: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within RADIUS, of windows and items of one size (given by its rank)."""
         pairs = []
-        for (starts, items), value in zip(self.posting, prints.T):
-            count = starts[value.astype(np.int64) + 1] - starts[value]
-            window = np.repeat(np.arange(len(value)), count)
-            item = items[np.repeat(starts[value] - (np.cumsum(count) - count), count) + np.arange(len(window))]
-            ok = item_ok[item]
-            pairs.append(window[ok] * len(self.ids) + item[ok])
+        high = rank.astype(np.uint32) << np.uint32(16)
+        for (codes, items), value in zip(self.posting, prints.T):
+            code = high | value
+            first = np.searchsorted(codes, code, "left")
+            some = np.flatnonzero(codes[np.minimum(first, len(codes) - 1)] == code)
+            first = first[some]
+            count = np.searchsorted(codes, code[some], "right") - first
+            item = items[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            pairs.append(np.repeat(some, count) * len(self.ids) + item)
         window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
         far = np.bitwise_count(prints[window] ^ self.blocks[item]).sum(1) > RADIUS
         return window[~far], item[~far]
 
-    def find(self, hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Hits in a document's words: item_id, first word, number of words, similarity; the best window of each item."""
+    def find(self, hashes: np.ndarray, shingles: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Hits in a document, from its words, its shingles and the places of those that some item has: item_id, first
+        word, number of words, similarity; the best window of each item."""
         best: dict[int, tuple[float, int, int]] = {}
-        found = []
-        n = len(hashes)
+        firsts: dict[int, tuple[int, int, int, float]] = {}
         for k, wanted in self.short.items():
             chain = chains(hashes, k)
             for at in np.flatnonzero(np.isin(chain, np.array(list(wanted), np.uint64))).tolist():
-                found += [(item, at, k, 1.0) for item in wanted[int(chain[at])]]
-        shingles = chains(hashes, WORDS)
-        if len(self.ids) and len(shingles):
-            hit = np.flatnonzero(self.filter[shingles & np.uint64((1 << _FILTER_BITS) - 1)])
-            hit = hit[np.isin(shingles[hit], self.known)]
-            if len(hit):
-                self._windows(shingles, hit, n, best)
-        firsts: dict[int, tuple[int, int, int, float]] = {}
-        for item, at, k, s in found:
-            firsts.setdefault(item, (item, at, k, s))
+                for item in wanted[int(chain[at])]:
+                    firsts.setdefault(item, (item, at, k, 1.0))
+        if len(hit):
+            self._windows(shingles, hit, len(hashes), best)
         return [*firsts.values(), *((self.ids[item], at, size, s) for item, (s, at, size) in sorted(best.items()))]
 
     def _windows(self, shingles: np.ndarray, hit: np.ndarray, n: int, best: dict) -> None:
@@ -150,21 +157,27 @@ class Index:
         inside = hit[(hit >= start) & (hit < start + len(own))] - start
         near_hit[inside + 1] = 1
         near_hit = np.cumsum(near_hit)
-        for size in np.unique(self.sizes).tolist():
+        prints, ranks, starts, widths = [], [], [], []
+        for rank, size in enumerate(self.widths.tolist()):
             width = size - WORDS + 1
             if width > len(own):
                 if start or len(own) < n - WORDS + 1:
                     continue
                 width = len(own)  # the whole of a shorter document
             at = np.flatnonzero(near_hit[width:] > near_hit[: len(near_hit) - width])
-            if not len(at):
-                continue
-            prints = fingerprints(sums[at + width] - sums[at])
-            for w, item in zip(*self.near(prints, self.sizes == size)):
-                s = similarity(own[at[w] : at[w] + width], self.shingles[item], self.weight)
-                first = start + int(at[w])
-                if s >= self.threshold and (int(item) not in best or (-s, first) < (-best[int(item)][0], best[int(item)][1])):
-                    best[int(item)] = (s, first, min(size, n))
+            if len(at):
+                prints.append(fingerprints(sums[at + width] - sums[at]))
+                ranks.append(np.full(len(at), rank))
+                starts.append(at)
+                widths.append(np.full(len(at), width))
+        if not prints:
+            return
+        starts, widths = np.concatenate(starts).tolist(), np.concatenate(widths).tolist()
+        for w, item in zip(*(x.tolist() for x in self.near(np.concatenate(prints), np.concatenate(ranks)))):
+            s = similarity(own[starts[w] : starts[w] + widths[w]], self.shingles[item], self.weight)
+            first = start + starts[w]
+            if s >= self.threshold and (item not in best or (-s, first) < (-best[item][0], best[item][1])):
+                best[item] = (s, first, min(int(self.sizes[item]), n))
 
 
 def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
@@ -179,9 +192,13 @@ def _documents_hits(texts: list[str], index: Index):
     """Hits of each text in turn."""
     for part in minhash.in_pieces(texts):
         hashes, doc, _, _ = minhash.word_hashes(texts[part])
-        edges = np.searchsorted(doc, np.arange(part.stop - part.start + 1))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield index.find(hashes[a:b])
+        edges = np.searchsorted(doc, np.arange(part.stop - part.start + 1)).tolist()
+        shingles = chains(hashes, WORDS)
+        hit = np.flatnonzero(index.holds(shingles) & (doc[: len(shingles)] == doc[WORDS - 1 :])) if len(index.ids) and len(shingles) else np.zeros(0, np.int64)
+        inside = np.searchsorted(hit, edges).tolist()
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            own = hit[inside[k] : inside[k + 1]] - a
+            yield index.find(hashes[a:b], shingles[a : max(a, b - WORDS + 1)], own) if len(own) or index.short else []
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -197,7 +214,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
                 rows = [(i, *h) for i, hits in zip(ids, _documents_hits(common.column(batch, "text"), index)) for h in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-        return common.texts(docs).mapInArrow(run, text)
+        return common.texts(docs).mapInArrow(common.tidy(run), text)
 
     out = None
     for items in _passes(benchmark):
@@ -208,6 +225,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
     out = docs
+    common.small_batches(docs.sparkSession)
 
     def without(items):
         def run(batches):
@@ -218,5 +236,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY)
         return run
 
     for items in _passes(benchmark):
-        out = out.mapInArrow(without(items), docs.schema)
+        out = out.mapInArrow(common.tidy(without(items)), docs.schema)
     return out
