@@ -3,7 +3,7 @@
 1. A document's set of distinct 5-word shingles gives a signature of COORDINATES minima. Documents with equal sets are
    one class from here on, so exact copies cost nothing.
 2. Every class is posted under each of its coordinate-value pairs. Two classes as similar as asked share at least
-   `matches` pairs (but for a chance below 1e-7), so, pairs in order of rising frequency, they meet within the first
+   `matches` pairs (but for a chance of MISS), so, pairs in order of rising frequency, they meet within the first
    COORDINATES - matches + 1 of each: only those prefixes are merged, the frequent rest is skipped. Lists are merged
    into clusters by their smallest member, never into pairs.
 3. Clusters are compared in blocks: members of a block pair count their collisions over whole signatures, those above
@@ -18,6 +18,7 @@ compared as numbers; an empty table gives no rows; extra columns are dropped by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -31,6 +32,8 @@ from plinth.llm import common, graph, hashing
 
 WORDS = 5
 COORDINATES = 64
+#: The chance that a pair just similar enough has too few collisions.
+MISS = 1e-8
 BLOCK_MEMBERS = 192
 BLOCK_SHINGLES = 400_000
 _MULTIPLIERS = hashing.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
@@ -40,9 +43,13 @@ _IS_SPACE = np.isin(np.arange(256), list(WHITE_SPACE))
 
 
 def least_matches(percent: int) -> int:
-    """Collisions that a pair of this similarity has, but for 5.5 standard deviations."""
-    s = percent / 100
-    return int(COORDINATES * s - 5.5 * (COORDINATES * s * (1 - s)) ** 0.5)
+    """Collisions that a pair of this similarity has but for a chance of MISS: the quantile of a binomial count."""
+    s, below = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k)
+        if below > MISS:
+            return k
+    return COORDINATES
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
