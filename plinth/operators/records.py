@@ -233,9 +233,10 @@ def targets(annotations: DataFrame, column: str = "json_annotation", width: str
             more = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))] if rows else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "target", "n_walls", "error"])
 
-    from pyspark.sql.types import IntegerType, StringType
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-    schema = annotations.schema.add("target", StringType()).add("n_walls", IntegerType()).add("error", StringType())
+    more = [StructField("target", StringType()), StructField("n_walls", IntegerType()), StructField("error", StringType())]
+    schema = StructType([*annotations.schema.fields, *more])
     return annotations.mapInArrow(run, schema)
 
 

@@ -552,7 +552,7 @@ def matrix_faults(plans: list[dict]) -> list[str]:
     out, seen = [], {}
     for p in plans:
         foot = (p.get("group"), json.dumps(p.get("footprint"), sort_keys=True))
-        out += [f"{p.get('id')} has the footprint of {seen[foot]}"] * (foot in seen)
+        out += [f"{p.get('id')} has the footprint of {seen.get(foot)}"] * (foot in seen)
         seen.setdefault(foot, p.get("id"))
         lengths = [w.get("length_mm", 0) for w in p.get("walls") or ()]
         out += [f"{p.get('id')} has fewer than 3 thicknesses"] * (len({w.get("thickness_mm") for w in p.get("walls") or ()}) < 3)
