@@ -78,7 +78,7 @@ sql_query(
 )
 sql_query(
     "line_intersections",
-    """WITH s AS (SELECT plan_id, idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM walls WHERE idx <= 3),
+    """WITH s AS (SELECT plan_id, idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM walls),
     p AS (SELECT a.plan_id, a.idx AS i, b.idx AS j, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2,
         (a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2) AS det FROM s a JOIN s b ON a.plan_id = b.plan_id AND a.idx < b.idx)
     SELECT plan_id, i, j, round(((x1 * y2 - y1 * x2) * (u1 - u2) - (x1 - x2) * (u1 * v2 - v1 * u2)) / det, 3) AS x,

@@ -167,15 +167,16 @@ sql_query("unreached_difference", "SELECT c_custkey FROM customer EXCEPT SELECT
     b AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w[1:3])) AS s FROM benchmark)
     SELECT doc_id, item_id, CAST(len(list_intersect(d.s, b.s)) AS INT) AS both_n,
     round(len(list_intersect(d.s, b.s)) * 1.0 / greatest(len(d.s) + len(b.s) - len(list_intersect(d.s, b.s)), 1), 6) AS jaccard
-    FROM d JOIN b ON doc_id % 40 = item_id""",
+    FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id""",
 )
 def label_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set likeness of word beginnings of a document and its reference item."""
     labels = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.substring(w, 1, 3)))
+    items = table(spark, sf_dir, "benchmark").count()
     d = table(spark, sf_dir, "documents").select("doc_id", labels(F.col("text")).alias("a"))
     b = table(spark, sf_dir, "benchmark").select("item_id", labels(F.col("text")).alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id")).select(
+    return d.join(b, F.col("doc_id") % items == F.col("item_id")).select(
         "doc_id", "item_id", both.alias("both_n"), F.round(both / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), 6).alias("jaccard")
     )
 

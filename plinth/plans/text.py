@@ -50,11 +50,11 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "number_list_parse",
-    """SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) > 5)) AS long_words FROM documents WHERE lang = 'en'""",
+    """SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) > 5)) AS long_words FROM documents""",
 )
 def number_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(F.filter(words, lambda w: F.length(w) > 5)).cast("long").alias("long_words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda w: F.length(w) > 5)).cast("long").alias("long_words"))
 
 
 @query(
@@ -167,9 +167,9 @@ sql_query(
 )
 
 
-@query("walls_only_projection", "SELECT doc_id, '{\"walls\":[{\"id\":' || doc_id || ',\"start\":[0,0]}]}' AS kept FROM documents WHERE lang = 'de'")
+@query("walls_only_projection", "SELECT doc_id, '{\"walls\":[{\"id\":' || doc_id || ',\"start\":[0,0]}]}' AS kept FROM documents")
 def walls_only_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations cut down to wall keys, by a typed parse and print."""
     text = F.concat(F.lit('{"walls":[{"id":'), "doc_id", F.lit(',"start":[0,0],"openings":[1]}],"rooms":[]}'))
     schema = "walls array<struct<id:bigint,start:array<int>,`end`:array<int>,thickness:int,curvature:double>>"
-    return table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.coalesce(F.to_json(records.tolerant(text, schema)), text).alias("kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.to_json(records.tolerant(text, schema)), text).alias("kept"))
