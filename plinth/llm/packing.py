@@ -125,7 +125,8 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = common.cut(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "piece-offsets")
-    ranked = cut_pieces.join(offsets, ["part", "length"]).withColumn("_rank", F.col("before") + F.col("lrank")).drop("before", "part", "lrank")
+    ranked = cut_pieces.join(offsets.hint("merge"), ["part", "length"])  # offsets grow with the partitions: never broadcast
+    ranked = ranked.withColumn("_rank", F.col("before") + F.col("lrank")).drop("before", "part", "lrank")
 
     def locate(batches):
         for batch in batches:
