@@ -13,10 +13,12 @@ from plinth import registry
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Walls of plans on the grid [0, 1000]: endpoints, thickness, curvature in thousandths.
+#: Walls of plans on the grid [0, 1000]: endpoints, thickness, curvature in thousandths. The plan id is named before it
+#: partitions the window, so that later windows, joins and groups on it need no further exchange.
 WALLS = """walls AS (
-SELECT l_orderkey AS plan_id,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS idx,
+SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS idx,
+    x1, y1, x2, y2, th, cv, kind, off, width
+FROM (SELECT l_orderkey AS plan_id, l_linenumber, l_partkey, l_suppkey, l_quantity,
     CAST((l_partkey * 37) % 1001 AS INT) AS x1,
     CAST((l_suppkey * 53 + l_linenumber * 91) % 1001 AS INT) AS y1,
     CAST((l_partkey * 91 + l_linenumber * 17) % 1001 AS INT) AS x2,
@@ -26,7 +28,7 @@ SELECT l_orderkey AS plan_id,
     CASE WHEN l_returnflag = 'R' THEN 'door' WHEN l_returnflag = 'A' THEN 'window' END AS kind,
     CAST(CAST(round(l_discount * 100) AS BIGINT) * 37 % 400 AS INT) AS off,
     CAST(20 + CAST(floor(l_extendedprice) AS BIGINT) % 61 AS INT) AS width
-FROM lineitem)"""
+    FROM lineitem) AS lines)"""
 
 #: Openings as free points, before they are given to a wall.
 OPENINGS = """openings AS (
@@ -35,10 +37,10 @@ FROM walls WHERE kind IS NOT NULL)"""
 
 #: Rooms of plans: one per part brand among its lines, with a bounding rectangle.
 ROOMS = """rooms AS (
-SELECT l_orderkey AS plan_id, p_brand AS room, min(p_type) AS label, CAST(count(*) AS BIGINT) AS n_lines,
-    CAST(min((l_partkey * 37) % 1001) AS BIGINT) AS x0, CAST(max((l_partkey * 37) % 1001) + 1 AS BIGINT) AS x1,
-    CAST(min((l_suppkey * 53) % 1001) AS BIGINT) AS y0, CAST(max((l_suppkey * 53) % 1001) + 1 AS BIGINT) AS y1
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand)"""
+SELECT plan_id, p_brand AS room, min(p_type) AS label, CAST(count(*) AS BIGINT) AS n_lines,
+    CAST(min(x) AS BIGINT) AS x0, CAST(max(x) + 1 AS BIGINT) AS x1, CAST(min(y) AS BIGINT) AS y0, CAST(max(y) + 1 AS BIGINT) AS y1
+FROM (SELECT l_orderkey AS plan_id, p_brand, p_type, (l_partkey * 37) % 1001 AS x, (l_suppkey * 53) % 1001 AS y FROM lineitem JOIN part ON l_partkey = p_partkey) AS placed
+GROUP BY plan_id, p_brand)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
