@@ -14,7 +14,7 @@ doc_id, or the same text further left) is removed with all bytes it covers. As t
 Content is compared by 64-bit hashes within a trigger (step 3) and 128-bit hashes of phrases (step 2).
 
 Defined cases: null text is empty; texts shorter than the window lose nothing; a null doc_id comes before all others;
-of different texts with equal doc_ids either may count as the earlier, phrase by phrase; rows equal in doc_id and text are one document
+of different texts with equal doc_ids the order is that of their hashes; rows equal in doc_id and text are one document
 and get equal results; very long texts are parsed in overlapping segments, with the same result; an empty table gives
 no rows; extra columns are kept by attach() and without().
 """
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import common, hashing
@@ -49,20 +49,21 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("_id"), F.xxhash64("doc_id", text).alias("_dk"), text.alias("_text"), *more)
 
 
-def _parsed(batch: pa.RecordBatch, window: int) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
-    """Phrases of a batch, a group of texts at a time: with the row and the offset in its text of each laid-out piece."""
+def _parsed(batch: pa.RecordBatch, window: int, segment: int, group: int) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
+    """Phrases of a batch, a group of texts of about `group` bytes at a time, longer texts in segments: with the row and
+    the offset in its text of each laid-out piece."""
     rows, offsets, raw, held = [], [], [], 0
     for row, text in enumerate(common.column(batch, "_text")):
         data = text.encode()
-        for offset in range(0, max(1, len(data)), SEGMENT_BYTES):
-            piece = data[offset : offset + SEGMENT_BYTES + window - 1]
+        for offset in range(0, max(1, len(data)), segment):
+            piece = data[offset : offset + segment + window - 1]
             if offset and len(piece) < window:
                 continue
             rows.append(row)
             offsets.append(offset)
             raw.append(piece)
             held += len(piece)
-            if held > GROUP_BYTES:
+            if held > group:
                 yield Phrases(raw, window), np.array(rows), np.array(offsets)
                 rows, offsets, raw, held = [], [], [], 0
     if raw:
@@ -77,7 +78,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
+def _repeated_triggers(docs: DataFrame, window: int, segment: int, group: int) -> DataFrame:
     """_dk, places: the phrases of each document whose trigger occurs more than once. (Documents with equal hashes share
     their places, which only names more phrases than need be.)"""
 
@@ -100,7 +101,7 @@ def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
 
         for batch in batches:
             dk = _longs(batch, "_dk")
-            for p, rows, offsets in _parsed(batch, window):
+            for p, rows, offsets in _parsed(batch, window, segment, group):
                 if len(p.first):
                     held.append((p.trigger, dk[rows[p.text]], p.first - p.starts[p.text] + offsets[p.text]))
                     size += len(p.first)
@@ -116,9 +117,9 @@ def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
         def settle(key, dk, mark):
             flag = mark & 3
             asks = flag < 2
-            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
-            many = np.bincount(group, asks + 2 * (flag == 1)) > 1
-            yes = ~asks | many[group]
+            own = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
+            many = np.bincount(own, asks + 2 * (flag == 1)) > 1
+            yes = ~asks | many[own]
             return pa.RecordBatch.from_arrays([pa.array(dk[yes]), pa.array((mark[yes] >> 2).astype(np.int32))], ["_dk", "at"])
 
         for batch in batches:
@@ -139,14 +140,14 @@ def _repeated_triggers(docs: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(common.tidy(answer), "_dk long, at int").groupBy("_dk").agg(F.collect_list("at").alias("places"))
 
 
-def _picked(batch: pa.RecordBatch, window: int, column: str) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _picked(batch: pa.RecordBatch, window: int, segment: int, group: int, column: str) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Phrases named by the sorted places in a list column: parse, their numbers, rows, places, positions in the list."""
     lists = [np.array(x, np.int64) for x in common.column(batch, column)]
     size = max((int(x.max()) for x in lists if len(x)), default=0) + 1
     named = np.concatenate([x + row * size for row, x in enumerate(lists)]) if lists else np.zeros(0, np.int64)
     order = np.argsort(named, kind="stable")
     named = named[order]
-    for p, rows, offsets in _parsed(batch, window):
+    for p, rows, offsets in _parsed(batch, window, segment, group):
         if not len(p.first) or not len(named):
             continue
         row, at = rows[p.text], p.first - p.starts[p.text] + offsets[p.text]
@@ -156,14 +157,14 @@ def _picked(batch: pa.RecordBatch, window: int, column: str) -> Iterator[tuple[P
         yield p, own, row[own], at[own], order[k[own]]
 
 
-def _occurrences(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
+def _occurrences(docs: DataFrame, places: DataFrame, window: int, segment: int, group: int) -> DataFrame:
     """e1, e2 (hash of the bytes), trigger, _id, _dk, at, windows of the phrases in places; again
-    is set where the same bytes stand further left in the same document."""
+    is set where the same bytes stand further left in the same group of the same document."""
 
     def run(batches):
         for batch in batches:
             id_, dk = _longs(batch, "_id"), _longs(batch, "_dk")
-            for p, own, row, at, _ in _picked(batch, window, "places"):
+            for p, own, row, at, _ in _picked(batch, window, segment, group, "places"):
                 start = p.first[own]
                 end = start + p.windows[own] + window - 1
                 e1, e2 = p.ranges.of(start, end), hashing.Ranges(p.data, 1).of(start, end)
@@ -176,20 +177,20 @@ def _occurrences(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     return keyed(docs).join(places, "_dk").mapInArrow(common.tidy(run), "e1 long, e2 long, trigger long, _id long, _dk long, at int, windows int, again boolean")
 
 
-def _contexts(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """trigger, shares, share, _id, _dk, at, bytes of the dictionary phrases in chosen (_id, _dk, places, shares, share)."""
+def _contexts(docs: DataFrame, chosen: DataFrame, window: int, segment: int, group: int) -> DataFrame:
+    """trigger, shares, share, _id, _dk, at, bytes of the dictionary phrases in chosen (_id, _high, places, shares, share)."""
 
     def run(batches):
         out = pa.schema([("trigger", pa.int64()), ("shares", pa.int32()), ("share", pa.int32()), ("_id", pa.int64()), ("_dk", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             id_, dk = _longs(batch, "_id"), _longs(batch, "_dk")
             shares, share = (np.array([x for xs in common.column(batch, n) for x in xs], np.int32) for n in ("shares", "share"))
-            for p, own, row, at, k in _picked(batch, window, "places"):
+            for p, own, row, at, k in _picked(batch, window, segment, group, "places"):
                 raw = p.data.tobytes()
                 got = [raw[a:b] for a, b in zip(p.first[own].tolist(), (p.first[own] + p.windows[own] + window - 1).tolist())]
                 yield pa.RecordBatch.from_arrays([_signed(p.trigger[own]), pa.array(shares[k]), pa.array(share[k]), pa.array(id_[row]), pa.array(dk[row]), pa.array(at.astype(np.int32)), pa.array(got, pa.binary())], schema=out)
 
-    return keyed(docs).withColumn("_low", F.col("_dk").bitwiseAND(0xFFFFFFFF)).join(chosen, ["_id", "_low"]).mapInArrow(common.tidy(run), "trigger long, shares int, share int, _id long, _dk long, at int, bytes binary")
+    return keyed(docs).withColumn("_high", F.shiftright("_dk", 32)).join(chosen, ["_id", "_high"]).mapInArrow(common.tidy(run), "trigger long, shares int, share int, _id long, _dk long, at int, bytes binary")
 
 
 def _later(content: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -279,12 +280,18 @@ def _across(packed: DataFrame, window: int) -> DataFrame:
     return packed.repartition(n, "trigger", "bucket").sortWithinPartitions("trigger", "bucket").mapInArrow(common.tidy(run), "_id long, _dk long, s int, e int")
 
 
+def _tail() -> Column:
+    """The upper 32 bits of _dk, then the place: one long in the order of document and place."""
+    return F.col("_dk").bitwiseAND(-1 << 32).bitwiseOR(F.col("at").cast("long"))
+
+
 def _dictionary(occurrences: DataFrame) -> DataFrame:
-    """First occurrence of each phrase: e1, e2, trigger, _id, tail (32 bits of _dk, then the place), n. Long values with
-    long orderings aggregate by hash; a document has one row a phrase, so _id orders them (equal doc_ids: any one)."""
-    tail = F.shiftleft("_dk", 32).bitwiseOR(F.col("at").cast("long"))
-    rows = occurrences.where("NOT again").select("e1", "e2", "trigger", "_id", tail.alias("tail"))
-    return common.cut(rows.groupBy("e1", "e2").agg(F.min("_id").alias("f_id"), F.min_by("tail", "_id").alias("f_tail"), F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n")), "dictionary")
+    """First occurrence of each phrase: e1, e2, trigger, f_id, f_tail, n. Long values with long orderings aggregate by hash.
+    A document in several groups has several rows a phrase, and documents may share their doc_id, so the first within each
+    _id is found before that over all."""
+    rows = occurrences.where("NOT again").select("e1", "e2", "trigger", "_id", _tail().alias("tail"))
+    firsts = rows.groupBy("e1", "e2", "_id").agg(F.min("tail").alias("tail"), F.first("trigger").alias("trigger"), F.count(F.lit(1)).alias("n"))
+    return common.cut(firsts.groupBy("e1", "e2").agg(F.min("_id").alias("f_id"), F.min_by("tail", "_id").alias("f_tail"), F.first("trigger").alias("trigger"), F.sum("n").alias("n")), "dictionary")
 
 
 def _chosen(dictionary: DataFrame) -> DataFrame:
@@ -292,26 +299,27 @@ def _chosen(dictionary: DataFrame) -> DataFrame:
     counts = common.cut(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "trigger-counts")
     share = F.pmod(F.col("e1"), F.col("shares")).cast("int")
     place = F.col("f_tail").bitwiseAND(0x7FFFFFFF).cast("int")
-    rows = dictionary.join(counts, "trigger").select(F.col("f_id").alias("_id"), F.shiftrightunsigned("f_tail", 32).alias("_low"), F.struct(place.alias("at"), "shares", share.alias("share")).alias("x"))
-    lists = rows.groupBy("_id", "_low").agg(F.collect_list("x").alias("x"))
-    return common.cut(lists.select("_id", "_low", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
+    rows = dictionary.join(counts, "trigger").select(F.col("f_id").alias("_id"), F.shiftright("f_tail", 32).alias("_high"), F.struct(place.alias("at"), "shares", share.alias("share")).alias("x"))
+    lists = rows.groupBy("_id", "_high").agg(F.collect_list("x").alias("x"))
+    return common.cut(lists.select("_id", "_high", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
 
 
 def _copied(occurrences: DataFrame, dictionary: DataFrame, window: int) -> DataFrame:
     """Spans of phrases that are not the first of their bytes."""
-    tail = F.shiftleft("_dk", 32).bitwiseOR(F.col("at").cast("long"))
     end = F.col("at") + F.col("windows") + window - 1
     several = dictionary.where("n > 1").select("e1", "e2", "f_id", "f_tail")
-    found = occurrences.where("NOT again").join(several, ["e1", "e2"]).where(~((F.col("f_id") == F.col("_id")) & (F.col("f_tail") == tail)))
+    found = occurrences.where("NOT again").join(several, ["e1", "e2"]).where(~((F.col("f_id") == F.col("_id")) & (F.col("f_tail") == _tail())))
     return found.unionByName(occurrences.where("again"), allowMissingColumns=True).select("_id", "_dk", F.col("at").alias("s"), end.alias("e"))
 
 
-def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_id, _dk, spans (array of s, e in bytes, may overlap) of documents with repeated windows."""
+def spans(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
+    """_id, _dk, spans (array of s, e in bytes, may overlap) of documents with repeated windows. Texts are parsed in
+    segments of `segment` bytes and groups of `group` bytes (SEGMENT_BYTES, GROUP_BYTES), with the same result."""
     spark = docs.sparkSession
-    places = common.cut(_repeated_triggers(docs, window), "places")
+    segment, group = segment or SEGMENT_BYTES, group or GROUP_BYTES
+    places = common.cut(_repeated_triggers(docs, window, segment, group), "places")
     common.release(spark)
-    occurrences = common.cut(_occurrences(docs, places, window), "occurrences")
+    occurrences = common.cut(_occurrences(docs, places, window, segment, group), "occurrences")
     common.drop(places)
     common.release(spark)
     dictionary = _dictionary(occurrences)
@@ -320,7 +328,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chosen = _chosen(dictionary)
     common.drop(dictionary)
     common.release(spark)
-    ordered = common.cut(_ordered(_contexts(docs, chosen, window), window), "ordered")
+    ordered = common.cut(_ordered(_contexts(docs, chosen, window, segment, group), window), "ordered")
     common.drop(chosen)
     common.release(spark)
     found = copied.unionByName(ordered.where("_id IS NOT NULL").select("_id", "_dk", "s", "e")).unionByName(_across(ordered.where("suffixes IS NOT NULL").select("trigger", "bucket", "suffixes"), window))
@@ -346,13 +354,13 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def attach(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def attach(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
     """All columns of docs, and _spans."""
-    found = spans(docs, window).withColumnRenamed("spans", "_spans")
+    found = spans(docs, window, segment, group).withColumnRenamed("spans", "_spans")
     return keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).drop("_text").join(found, ["_id", "_dk"], "left").select("_row.*", "_spans")
 
 
-def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches):
@@ -363,10 +371,10 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept_bytes(data, runs)).hexdigest()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return attach(docs.select("doc_id", "text"), window).mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return attach(docs.select("doc_id", "text"), window, segment, group).mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
     """docs, all columns, with repeats cut out of the texts (a character cut in part goes) and n_chars, if any, renewed."""
 
     def run(batches):
@@ -386,4 +394,4 @@ def without(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns.append((f.name, value))
             yield pa.RecordBatch.from_arrays([v for _, v in columns], [n for n, _ in columns])
 
-    return attach(docs, window).mapInArrow(common.tidy(run), docs.schema)
+    return attach(docs, window, segment, group).mapInArrow(common.tidy(run), docs.schema)

@@ -126,6 +126,16 @@ def test_repeats_in_shares_segments_and_portions(docs, corpus, monkeypatch):
     assert sorted(map(tuple, repeats.digests(docs).collect())) == brute_repeats(corpus)
 
 
+def test_repeats_of_a_text_in_many_segments(spark):
+    """Each segment is a group of its own; the earliest place of the earliest document stays."""
+    rng = random.Random(21)
+    passages = [prose(rng, 60) for _ in range(3)]
+    long = " ".join(prose(rng, 50) + " " + passages[k % 3] for k in range(24))
+    rows = [(1, long), (2, prose(rng, 30) + passages[0]), (0, prose(rng, 30)), (3, long[5000:9000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, repeats.digests(df, segment=700, group=1).collect())) == brute_repeats(rows)
+
+
 def test_texts_without_repeats(spark, docs, corpus):
     out = repeats.without(docs)
     assert out.columns == docs.columns
