@@ -7,7 +7,9 @@ item's to the item finds all items within the radius. A pair as similar as asked
 about 1e-5. Candidates are then verified by exact weighted similarity (sum of minima over sum of maxima). Windows that
 hold no shingle of any item have similarity 0 and get no fingerprint.
 
-The benchmark is held whole in each task, ITEMS_AT_ONCE items at most; a larger one is taken in that many passes.
+A shingle's weight is HEAVIEST over the number of distinct benchmark texts that hold it, counted over the whole benchmark.
+The items are held whole in each task, ITEMS_AT_ONCE at most; a larger benchmark is taken in that many passes, which all
+use the same weights, so the passes bound memory and change no result.
 
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window for it; items of fewer
 than 5 words are found as they are; items without words, or with a null text, are skipped; of windows that tie the first
@@ -17,6 +19,7 @@ matches() and kept by clean().
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -63,11 +66,21 @@ def similarity(a: np.ndarray, b: np.ndarray, weight) -> float:
     return float((np.minimum(x, y) * w).sum() / most) if most else 0.0
 
 
+def shared(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several distinct texts hold, in order, and their weights; every other shingle weighs HEAVIEST."""
+    sets = [np.unique(chains(minhash.word_hashes([t])[0], WORDS)) for t in set(texts)]
+    values, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    several = times > 1
+    return values[several], np.maximum(1, HEAVIEST // times[several])
+
+
 class Index:
-    """Benchmark items, ready to be looked for."""
+    """Benchmark items, ready to be looked for. Weights are those of the whole benchmark (shared() of all its texts); by
+    default the items are the whole."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = SIMILARITY, weights: tuple[np.ndarray, np.ndarray] | None = None):
         self.threshold = threshold
+        self.light, self.weights = shared(t for _, t in items) if weights is None else weights
         self.ids, self.sizes, self.shingles = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
@@ -79,8 +92,7 @@ class Index:
             elif len(hashes):
                 self.short.setdefault(len(hashes), {}).setdefault(int(chains(hashes, len(hashes))[0]), []).append(item_id)
         every = np.concatenate([np.unique(s) for s in self.shingles]) if self.shingles else np.zeros(0, np.uint64)
-        self.known, times = np.unique(every, return_counts=True)
-        self.weights = np.maximum(1, HEAVIEST // times)
+        self.known = np.unique(every)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.known & np.uint64((1 << _FILTER_BITS) - 1)] = True
         self.sizes = np.array(self.sizes, np.int64)
@@ -97,10 +109,10 @@ class Index:
             self.posting.append((code[order], (order // len(flips)).astype(np.int32)))
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.light):
             return np.full(len(shingles), HEAVIEST)
-        k = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[k] == shingles, self.weights[k], HEAVIEST)
+        k = np.minimum(np.searchsorted(self.light, shingles), len(self.light) - 1)
+        return np.where(self.light[k] == shingles, self.weights[k], HEAVIEST)
 
     def holds(self, shingles: np.ndarray) -> np.ndarray:
         """Which shingles some item has."""
@@ -206,9 +218,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
     text = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
+    passes = _passes(benchmark)
+    weights = shared(t for items in passes for _, t in items)
+
     def one(items):
         def run(batches):
-            index = Index(items, threshold)
+            index = Index(items, threshold, weights)
             for batch in batches:
                 ids = common.column(batch, "doc_id")
                 rows = [(i, *h) for i, hits in zip(ids, _documents_hits(common.column(batch, "text"), index)) for h in hits]
@@ -217,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
         return common.texts(docs).mapInArrow(common.tidy(run), text)
 
     out = None
-    for items in _passes(benchmark):
+    for items in passes:
         out = one(items) if out is None else out.unionByName(one(items))
     return docs.sparkSession.createDataFrame([], text) if out is None else out
 
@@ -226,15 +241,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY)
     """The rows of docs, all columns, that hold no item."""
     out = docs
     common.small_batches(docs.sparkSession)
+    passes = _passes(benchmark)
+    weights = shared(t for items in passes for _, t in items)
 
     def without(items):
         def run(batches):
-            index = Index(items, threshold)
+            index = Index(items, threshold, weights)
             for batch in batches:
                 yield batch.filter(pa.array([not hits for hits in _documents_hits([t or "" for t in common.column(batch, "text")], index)], pa.bool_()))
 
         return run
 
-    for items in _passes(benchmark):
+    for items in passes:
         out = out.mapInArrow(common.tidy(without(items)), docs.schema)
     return out

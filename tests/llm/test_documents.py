@@ -198,6 +198,30 @@ def test_matches_equal_brute_force(spark, leaks, monkeypatch):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_weights_do_not_depend_on_the_passes(spark, monkeypatch):
+    """Templated and repeated items, each edited in one word: equal rows whether the items are in one pass or in many."""
+    rng = random.Random(31)
+    frame = prose(rng, 40)
+    items = [(k, frame + " " + prose(rng, 12)) for k in range(8)] + [(20 + k, prose(rng, 50)) for k in range(4)]
+    items += [(30 + k, items[8][1]) for k in range(5)]
+    rows = []
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        words[25] = "changed"
+        rows.append((k, prose(rng, 20) + " " + " ".join(words) + " " + prose(rng, 20)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.Index(items)
+    assert set(index.weight(index.shingles[8]).tolist()) == {decontaminate.HEAVIEST}  # copies of an item count once
+    assert set(index.weight(index.shingles[0][:36]).tolist()) == {1}
+    whole = sorted(map(tuple, decontaminate.matches(docs, bench).collect()))
+    assert {(8, 20 + 10 * j) for j in (0, 1)} <= {(d, i) for d, i, *_ in whole}
+    for size in (1, 3):
+        monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", size)
+        assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == whole
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {r[0] for r in rows} - {w[0] for w in whole}
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([(k, prose(random.Random(k), 30)) for k in range(20)])
