@@ -3,9 +3,13 @@
 A window has as many words as a benchmark item. It and the item have fingerprints of 128 bits: the signs of sums over
 their 5-word shingles, each with its weight and its multiplicity. The fingerprint is cut into 8 blocks of 16 bits; two
 fingerprints within RADIUS bits agree in some block but for RADIUS // 8 bits, so an index from every block value near an
-item's to the item finds all items within the radius. A pair as similar as asked is beyond the radius with a chance of
-about 1e-5. Candidates are then verified by exact weighted similarity (sum of minima over sum of maxima). Windows that
-hold no shingle of any item have similarity 0 and get no fingerprint.
+item's to the item finds all items within the radius. Candidates are then verified by exact weighted similarity (sum of
+minima over sum of maxima). Windows that hold no shingle of any item have similarity 0 and get no fingerprint.
+
+A pair at a similarity of 0.8 is beyond the radius with a chance of about 1e-5 if its shingles weigh the same and occur
+once; uneven weights or multiplicities can put most such pairs beyond it. So beside the index, every item whose weight in
+a region of hits can reach the threshold has its similarity to all windows there computed from running sums, exactly: no
+pair as similar as asked is lost, whatever the weights.
 
 A shingle's weight is HEAVIEST over the number of distinct benchmark texts that hold it, counted over the whole benchmark.
 The items are held whole in each task, ITEMS_AT_ONCE at most; a larger benchmark is taken in that many passes, which all
@@ -19,7 +23,7 @@ matches() and kept by clean().
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -96,6 +100,12 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.known & np.uint64((1 << _FILTER_BITS) - 1)] = True
         self.sizes = np.array(self.sizes, np.int64)
+        self.sets = [np.unique(s, return_counts=True) for s in self.shingles]
+        self.totals = np.array([self.weight(s).sum() for s in self.shingles], np.int64)
+        held, times = (np.concatenate(x) if x else np.zeros(0, t) for x, t in (([v for v, _ in self.sets], np.uint64), ([n for _, n in self.sets], np.int64)))
+        order = np.argsort(held, kind="stable")  # by shingle: the items that hold it, and how often
+        self.held, self.held_times = held[order], times[order]
+        self.holder = np.repeat(np.arange(len(self.sets)), [len(v) for v, _ in self.sets])[order]
         self.blocks = np.zeros((len(self.ids), BLOCKS), np.uint16)
         for k, s in enumerate(self.shingles):
             self.blocks[k] = fingerprints((signs(s) * self.weight(s)[:, None]).sum(0, keepdims=True))[0]
@@ -188,8 +198,48 @@ class Index:
         for w, item in zip(*(x.tolist() for x in self.near(np.concatenate(prints), np.concatenate(ranks)))):
             s = similarity(own[starts[w] : starts[w] + widths[w]], self.shingles[item], self.weight)
             first = start + starts[w]
-            if s >= self.threshold and (item not in best or (-s, first) < (-best[item][0], best[item][1])):
-                best[item] = (s, first, min(int(self.sizes[item]), n))
+            self._keep(best, item, s, first, n)
+        for item, s, at in self._reaching(own, inside, not start and len(own) == n - WORDS + 1):
+            self._keep(best, item, s, start + at, n)
+
+    def _keep(self, best: dict, item: int, s: float, first: int, n: int) -> None:
+        if s >= self.threshold and (item not in best or (-s, first) < (-best[item][0], best[item][1])):
+            best[item] = (s, first, min(int(self.sizes[item]), n))
+
+    def _reaching(self, own: np.ndarray, inside: np.ndarray, whole: bool) -> Iterator[tuple[int, float, int]]:
+        """Items with a window in this region that reaches the threshold: item, similarity and start of the best window.
+        The hits are at the places inside; a region that is a whole document is one window for longer items."""
+        hits, weights = own[inside], self.weight(own)
+        values, times = np.unique(hits, return_counts=True)
+        first = np.searchsorted(self.held, values, "left")
+        count = np.searchsorted(self.held, values, "right") - first
+        row = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        most = np.minimum(np.repeat(times, count), self.held_times[row]) * np.repeat(self.weight(values), count)
+        able = np.bincount(self.holder[row], most, len(self.ids)) >= self.threshold * self.totals * (1 - 1e-9)
+        up_to = np.concatenate([[0], np.cumsum(weights)])
+        for item in np.flatnonzero(able).tolist():
+            width = int(self.sizes[item]) - WORDS + 1
+            if width > len(own):
+                if not whole:
+                    continue
+                width = len(own)
+            values, times = self.sets[item]
+            which = np.minimum(np.searchsorted(values, hits), len(values) - 1)
+            found = np.flatnonzero(values[which] == hits)
+            found = found[np.argsort(which[found], kind="stable")]
+            which, place = which[found], inside[found]
+            # an occurrence counts in windows that hold it, but not the one that is as many before as the item has
+            before = np.arange(len(found)) - times[which]
+            full = (before >= 0) & (which[before] == which)
+            low = np.maximum(np.where(full, place[before] + 1, 0), place - width + 1)
+            windows = len(own) - width + 1
+            gain = weights[place]
+            change = np.bincount(np.clip(low, 0, windows), gain, windows + 1) - np.bincount(np.minimum(place + 1, windows), gain, windows + 1)
+            least = np.cumsum(change)[:windows]
+            s = least / (self.totals[item] + up_to[width:] - up_to[:windows] - least)
+            at = int(np.argmax(s))
+            if s[at] >= self.threshold:
+                yield item, float(s[at]), at
 
 
 def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:

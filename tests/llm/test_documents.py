@@ -222,6 +222,29 @@ def test_weights_do_not_depend_on_the_passes(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {r[0] for r in rows} - {w[0] for w in whole}
 
 
+def test_uneven_weights_lose_no_match(spark):
+    """Templates with one own word, items of repeated words, and leaks edited by heavy or repeated shingles."""
+    rng = random.Random(41)
+    frame, other = prose(rng, 100), prose(rng, 47)
+    items = [(k, frame + " own" + str(k)) for k in range(8)]
+    items += [(20, other), (21, "la " * 30 + prose(rng, 8)), (22, prose(rng, 20) + " tra la" * 12), (23, frame)]
+    rows = [(k, prose(rng, 25) + " " + frame + " edit" + str(k) + " " + prose(rng, 30)) for k in range(12)]
+    words = other.split()
+    rows += [(30 + k, prose(rng, 9) + " " + " ".join(words[:-5] + ["w" + str(k)] * 5) + " " + " ".join(["w" + str(k)] * 9)) for k in range(12)]
+    rows += [(50, "la " * 200), (51, items[9][1]), (52, prose(rng, 40) + " " + items[10][1] + " tra la" * 30), (53, " ".join(frame.split()[:90])), (54, frame)]
+    rows += [(60, prose(rng, 300)), (61, " ".join([*frame.split()[:50], "new", *frame.split()[51:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_matches(rows, items) >= {(d, i) for d in range(12) for i in range(8)}
+    index, texts = decontaminate.Index(items), dict(rows)
+    for r in got:
+        own = decontaminate.chains(minhash.word_hashes([texts[r.doc_id]])[0], 5)
+        s = index.shingles[index.ids.index(r.item_id)]
+        width = min(len(s), len(own))
+        scores = [decontaminate.similarity(own[k : k + width], s, index.weight) for k in range(len(own) - width + 1)]
+        assert r.similarity == max(scores) and r.first_word == scores.index(max(scores))
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([(k, prose(random.Random(k), 30)) for k in range(20)])
