@@ -66,7 +66,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.table = _byte_chars()
         self.plain = _Words(self._whole)

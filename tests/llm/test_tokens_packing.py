@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -24,6 +25,13 @@ def awkward(spark):
     return spark.createDataFrame([(i, t, "x", i) for i, t in AWKWARD], "doc_id long, text string, start string, length long")
 
 
+@cache
+def _fresh(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def ids_of(library, text):
     return [*library.encode(text or "", add_special_tokens=False).ids, 0]
 
@@ -35,6 +43,21 @@ def test_remembered_ids_equal_the_librarys(text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "a", "Bc", " ", "\n", ".", "é", "<|"]), max_size=20).map("".join))
+def test_ids_equal_a_fresh_librarys(text):
+    """Literal special tokens too are those of the library as it is loaded."""
+    path = tokens.tokenizer_path()
+    fresh = _fresh(path)
+    assert np.frombuffer(tokens.Encoder.of(path).encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+def test_a_special_token_in_a_text_is_one_id():
+    path = tokens.tokenizer_path()
+    special = _fresh(path).token_to_id("<|endoftext|>")
+    assert special is not None and np.frombuffer(tokens.Encoder.of(path).encode("a <|endoftext|> b"), "<u4").tolist().count(special) == 1
+
+
 def expected_rows(library, rows):
     at, out = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
