@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,17 @@ def jsonl(rows: DataFrame, path: str, split: str = "split") -> None:
     rows.write.mode("errorifexists").partitionBy(split).json(path)
 
 
+def annotations(rows: DataFrame, path: str) -> None:
+    """All rows as one JSON array in a local file, for readers of that form; rows pass the driver a partition at a time."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    lines = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()
+    with open(f"{path}.part", "w", encoding="utf-8") as out:
+        out.write("[")
+        out.writelines(("" if k == 0 else ",\n") + r[0] for k, r in enumerate(lines))
+        out.write("]\n")
+    os.replace(f"{path}.part", path)
+
+
 def shards(plans: DataFrame, path: str, per_shard: int = 500, index: str = "index") -> None:
     """Plans in folders of `per_shard`, and a narrow index in order of id."""
     sharded = plans.withColumn("shard_no", F.floor(F.col(index) / per_shard))

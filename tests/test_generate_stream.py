@@ -94,6 +94,16 @@ def test_filters_and_numbering(spark):
     assert numbering.gapless(df.limit(0), "id", "n").count() == 0
 
 
+def test_annotations_are_one_array(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "é\n" if k % 2 else None, [k, k + 1]) for k in range(7)], "id long, note string, cl array<int>").repartition(3)
+    path = tmp_path / "new" / "annotations.json"
+    for df in (rows, rows, rows.limit(0)):
+        sinks.annotations(df, str(path))
+        want = [r.asDict() for r in df.collect()]
+        assert sorted(json.loads(path.read_text("utf-8")), key=lambda r: r["id"]) == sorted(want, key=lambda r: r["id"])
+    assert [f.name for f in path.parent.iterdir()] == ["annotations.json"]
+
+
 def test_sinks(spark, tmp_path, plans):
     rows = spark.createDataFrame([("x/a.png", "t", "s", "train"), ("x/b.png", "u", "s", "val"), ("x/a.png", "v", "s", "train")], "image string, target string, source string, split string")
     sinks.jsonl(rows, str(tmp_path / "j"))
