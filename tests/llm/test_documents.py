@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -369,17 +370,69 @@ def test_held_out_labels_are_never_learnt(spark, labelled):
 def test_toxicity_without_labels(spark, labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels.limit(0))
-    assert model.score("you idiot, you stupid clown") > 0.5 > model.score("a fine day")
-    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert model.voters == [] and np.allclose(model.scores(["a fine day", "", "x" * 300_000]), toxicity.CLEAN)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs, model).count() == docs.count()
 
 
-def test_label_model_discounts_voters_that_repeat_each_other():
-    rng = np.random.default_rng(4)
-    y = rng.random(2000) < 0.3
-    one = np.where(y, rng.random(2000) < 0.8, rng.random(2000) < 0.1)
-    votes = np.stack([one, one, one, np.where(y, rng.random(2000) < 0.7, rng.random(2000) < 0.05)], 1)
-    post, say = toxicity.label_model(votes.astype(float), y.astype(float))
-    assert say[:3].max() < 0.5 < say[3] and ((post > 0.5) == y).mean() > 0.95
+def brute_votes(texts, voters):
+    out = set()
+    for i, text in enumerate(texts):
+        words = re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())
+        shown = {"/" + name for name, p in toxicity.PATTERNS.items() if re.search(p, text)} | ({"/repeating"} if any(len(set(words[k : k + 3])) == 1 for k in range(len(words) - 2)) else set())
+        out |= {(i, j) for j, (stem, least) in enumerate(voters) if stem in shown or sum(w.startswith(stem) for w in words) >= least}
+    return out
+
+
+def test_votes_equal_brute_force(corpus):
+    voters = [("alph", 2), ("alpha1", 1), ("beta", 12), ("éééé", 1), ("epsi", 1), ("gamm", 3), ("/repeating", 1), ("/shouting", 1), ("nothing", 1)]
+    texts = [t or "" for _, t in corpus] + ["go go go", "ALPHA1 alpha2!!", "alpha1" * 50_000, "x " * 100_000 + "alpha11"]
+    model = toxicity.Model(voters, np.zeros(len(voters) + 3))
+    text, voter, totals = model.votes(texts)
+    assert set(zip(text.tolist(), voter.tolist())) == brute_votes(texts, voters) and len(totals) == len(texts)
+    assert np.allclose(np.expm1(totals[:, 0]), [sum(i == k for i, _ in brute_votes(texts, voters)) for k in range(len(texts))])
+
+
+def independent(rng, n=3000, share=0.3):
+    y = rng.random(n) < share
+    return y, np.stack([np.where(y, rng.random(n) < on, rng.random(n) < off) for on, off in ((0.8, 0.02), (0.6, 0.05), (0.7, 0.03), (0.5, 0.02))], 1).astype(float)
+
+
+def test_label_model_recovers_rates():
+    y, votes = independent(np.random.default_rng(4))
+    post, model = toxicity.label_model(votes, y.astype(float))
+    clear = votes.sum(1) != 1  # abstaining says nothing, so one stray vote (8 % of the clean rows) counts
+    assert ((post > 0.5) == y)[clear].mean() > 0.97
+    for j, (on, off) in enumerate(((0.8, 0.02), (0.6, 0.05), (0.7, 0.03), (0.5, 0.02))):
+        assert on - 0.25 < model.together[1, j] < on + 0.05 and model.together[0, j] < off + 0.05  # strays thin the toxic side out
+
+
+def test_label_model_counts_voters_that_repeat_each_other_once():
+    rng = np.random.default_rng(5)
+    y = rng.random(3000) < 0.3
+    one = np.where(y, rng.random(3000) < 0.8, rng.random(3000) < 0.2)
+    other = np.where(y, rng.random(3000) < 0.7, rng.random(3000) < 0.2)
+    votes = np.stack([one, one, one, other], 1).astype(float)
+    _, model = toxicity.label_model(votes, y.astype(float))
+    _, plain = toxicity.label_model(votes[:, [0, 3]], y.astype(float))
+    assert (model.correlation > 0.1).sum() == 2  # the copies hang on the first
+    assert abs(model.posterior(np.array([[1.0, 1, 1, 0]]))[0] - plain.posterior(np.array([[1.0, 0]]))[0]) < 0.05
+
+
+def test_voters_that_agree_overrule_gold():
+    y, votes = independent(np.random.default_rng(6))
+    wrong = np.flatnonzero(y & (votes.sum(1) >= 3))[:40]
+    gold = y.astype(float)
+    gold[wrong] = 0
+    quiet = np.flatnonzero(~y & (votes.sum(1) == 0))[:40]
+    gold[quiet] = 1
+    post, _ = toxicity.label_model(votes, gold)
+    assert (post[wrong] > 0.5).all() and (post[quiet] < 0.5).all()
+
+
+def test_levels_and_telling():
+    assert list(toxicity.levels(13)) == [1, 2, 3, 4, 6, 8, 12] and list(toxicity.levels(1)) == [1]
+    counts = {("bad", 1): (90, 200), ("badly", 1): (50, 2), ("badly", 2): (45, 0), ("badlyx", 2): (15, 0), ("good", 1): (10, 900), ("rare", 1): (2, 0)}
+    assert toxicity.telling(counts, 100, 1000) == [("badly", 1), ("bad", 1)]  # one count a beginning; badlyx is idle beside badly
 
 
 # ---- queries ---------------------------------------------------------------------------------------------------------
