@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: The most keys that are taken for frequent, and the rows below which no key is.
+HOT_KEYS, HOT_ROWS = 2000, 20_000
 #: Used only where the session names no shared folder (local mode, tests).
 LOCAL_FALLBACK = "file:///tmp/checkpoints/plinth"
 
@@ -107,6 +109,26 @@ def texts(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def hot_join(rows: DataFrame, keys: DataFrame, key: str | list[str]) -> DataFrame:
+    """Inner join of rows with a table of distinct keys whose column n counts (at least) the rows of each. Keys that hold a
+    share of 1 / HOT_KEYS or more are HOT_KEYS at most, whatever the data; they are broadcast, so no key meets in a task."""
+    on = [key] if isinstance(key, str) else key
+    total, most = keys.agg(F.sum("n"), F.max("n")).first()
+    if not total or most < HOT_ROWS or most * HOT_KEYS < total:
+        return rows.join(keys, on)
+    hot = F.col("n") * HOT_KEYS >= total
+    few = rows.join(F.broadcast(keys.where(hot).select(*on)), on, "left_anti").join(keys.where(~hot), on)
+    return rows.join(F.broadcast(keys.where(hot)), on).unionByName(few)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """A column name like this one that no column has."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

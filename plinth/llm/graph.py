@@ -36,13 +36,19 @@ def components(edges: DataFrame) -> DataFrame:
             labels = hooks
         else:
             on = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+            before, hooked = labels, hooks
             labels = common.cut(labels.join(on, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent")).unionByName(hooks.select("node", "parent")), "labels")
         high = hooks.select(F.col("node").alias("hi"), F.col("parent").alias("a"))
         low = hooks.select(F.col("node").alias("lo"), F.col("parent").alias("_b"))
         after = common.cut(upward(graph.join(high, "hi").join(low, "lo", "left").select("a", F.coalesce("_b", "lo").alias("b"))), "edges")
         common.drop(graph)
+        if hooks is not labels:
+            common.drop(before, hooked)
         graph = after
+    common.drop(graph)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).where("false")
     named = labels.select("node", F.col("parent").alias("component"))
-    return common.cut(named.unionByName(named.select(F.col("component").alias("node"), "component").distinct()), "components")
+    found = common.cut(named.unionByName(named.select(F.col("component").alias("node"), "component").distinct()), "components")
+    common.drop(labels)
+    return found

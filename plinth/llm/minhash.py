@@ -4,12 +4,17 @@
    one class from here on, so exact copies cost nothing.
 2. Every class is posted under each of its coordinate-value pairs. Two classes as similar as asked share at least
    `matches` pairs (but for a chance of MISS), so, pairs in order of rising frequency, they meet within the first
-   COORDINATES - matches + 1 of each: only those prefixes are merged, the frequent rest is skipped. Lists are merged
-   into clusters by their smallest member, never into pairs.
-3. Clusters are compared in blocks: members of a block pair count their collisions over whole signatures, those above
-   the threshold are confirmed on full sets, and a spanning forest of the confirmed links goes out. A block is bounded
-   in members and shingles whatever the cluster's size; no list, cluster or pair is dropped.
-4. Components of the links give the result.
+   COORDINATES - matches + 1 of each: only those prefixes are merged, the frequent rest is skipped.
+3. Every list is merged with its smallest member, its leader: a row a member, never a row a pair of members. Of these
+   pairs the collisions over the whole signatures are counted; those above the threshold are confirmed on full sets.
+   So a group of N near copies costs N comparisons, and its members are one component.
+4. What a leader can't settle: a list whose other members are still of several components. Such lists are gathered by
+   leader and compared in blocks, members of different components only, counting collisions and confirming as before; a
+   task hands on a spanning forest of its links. Blocks are bounded in members and shingles whatever the group's size,
+   and a large component has blocks of its own, which are never compared with each other. No list, group or pair is dropped.
+5. Components of the links give the result.
+
+Keys that hold a large share of the rows are few, and are joined by broadcast (common.hot_join).
 
 Defined cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have the empty set and
 no link; a null doc_id is linked to nothing; documents with equal doc_ids are one node; ties don't arise, as ids are
@@ -130,20 +135,19 @@ def _signed(docs: DataFrame) -> DataFrame:
     return common.texts(docs).mapInArrow(common.tidy(run), "doc_id long, n_shingles long, digest binary, key long, signature array<int>")
 
 
-def _clusters(classes: DataFrame, matches: int) -> DataFrame:
-    """node, component: classes that may have a link are in one cluster."""
+def _prefixes(classes: DataFrame, matches: int) -> tuple[DataFrame, DataFrame]:
+    """node, post: the lists each class is merged in; post, a, n: their leaders and lengths."""
     posts = classes.select("key", "node", F.posexplode("signature").alias("_k", "_v")).select(
         "key", "node", F.shiftleft(F.col("_k").cast("long"), 32).bitwiseOR(F.col("_v").cast("long").bitwiseAND(0xFFFFFFFF)).alias("post")
     )
     shared = common.cut(posts.groupBy("post").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("post", "n"), "shared-posts")
-    live = posts.join(shared, "post").groupBy("key", "node").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("live"))  # at most COORDINATES a class
+    live = common.hot_join(posts, shared, "post").groupBy("key", "node").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("live"))  # at most COORDINATES a class
     prefix = common.cut(
-        live.where(F.size("live") >= matches).select("node", F.explode(F.slice("live", F.lit(1), F.size("live") - matches + 1)).alias("p")).select("node", "p.post"), "prefixes"
+        live.where(F.size("live") >= matches).select("node", F.explode(F.slice("live", F.lit(1), F.size("live") - matches + 1)).alias("p")).select("node", "p.post").distinct(), "prefixes"
     )
-    leads = common.cut(prefix.groupBy("post").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("post", "a"), "leads")
-    found = graph.components(prefix.join(leads, "post").select("a", F.col("node").alias("b")))
-    common.drop(shared, prefix, leads)
-    return found
+    leads = common.cut(prefix.groupBy("post").agg(F.min("node").alias("a"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).where("a < hi").select("post", "a", "n"), "leads")
+    common.drop(shared)
+    return prefix, leads
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -164,14 +168,17 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def block_links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links between members of left and right (masks over members), as a spanning forest."""
+def block_links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, matches: int, percent: int, settled: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Confirmed links between members of left and right (masks over members), as a spanning forest; members of equal
+    `settled` aren't compared."""
     sign = signatures(sets)
     a, b = np.flatnonzero(left), np.flatnonzero(right)
     collide = np.zeros((len(a), len(b)), np.int16)
     for k in range(COORDINATES):
         collide += sign[a, k][:, None] == sign[b, k][None]
     maybe = collide >= matches
+    if settled is not None:
+        maybe &= settled[a][:, None] != settled[b][None]
     if not maybe.any():
         return []
     flat = np.concatenate(sets)
@@ -194,12 +201,10 @@ def block_links(nodes: list[int], sets: list[np.ndarray], left: np.ndarray, righ
     return forest([(nodes[a[i]], nodes[b[j]]) for i, j in zip(*np.nonzero(yes)) if nodes[a[i]] != nodes[b[j]]])
 
 
-def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Confirmed links a, b within clusters."""
-    members = common.cut(clusters.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("n")), "node"), "members")
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sized = common.cut(members.join(common.cut(sizes, "cluster-sizes"), "component").select(F.col("node").alias("doc_id"), "component", "blocks"), "members")
-    rows = common.texts(docs).join(sized, "doc_id").dropDuplicates(["doc_id", "text"])
+def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of wanted (doc_id and others) with the shingle set of each of the document's texts."""
+    names = wanted.columns
+    rows = common.texts(docs).join(wanted, "doc_id").dropDuplicates([*names, "text"])
 
     def sets_of(batches):
         for batch in batches:
@@ -207,29 +212,87 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, matches: in
             for part in in_pieces(texts):
                 got = [s.tobytes() for s in shingle_sets(texts[part])]
                 cut = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(n)) for n in ("doc_id", "component", "blocks")), pa.array(got, pa.binary())], ["doc_id", "component", "blocks", "shingles"])
-
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    spread = (
-        rows.mapInArrow(common.tidy(sets_of), "doc_id long, component long, blocks int, shingles binary")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "shingles")
-    )
+                yield pa.RecordBatch.from_arrays([*(cut.column(cut.schema.get_field_index(n)) for n in names), pa.array(got, pa.binary())], [*names, "shingles"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
+    return rows.select(*names, "text").mapInArrow(common.tidy(sets_of), f"{fields}, shingles binary")
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, prefix: DataFrame, leads: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Confirmed links a, b of members with the leaders of their lists."""
+    pairs = common.cut(common.hot_join(prefix, leads, "post").where("node != a").select("a", F.col("node").alias("b")).distinct(), "stars")
+    signature = classes.select("node", "signature")
+    sizes = common.cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "star-sizes")
+    told = common.hot_join(pairs.join(signature.withColumnsRenamed({"node": "b", "signature": "_b"}), "b"), sizes.join(signature.withColumnsRenamed({"node": "a", "signature": "_a"}), "a"), "a")
+    collisions = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    likely = common.cut(told.where(collisions >= matches).select("a", "b").distinct(), "likely")
+    parts = common.cut(likely.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "star-parts")
+    members = common.hot_join(likely, parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int").alias("part"), F.lit(1).alias("role"))
+    leaders = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int") - 1)).alias("part"), F.lit(0).alias("role"))
+
+    def compare(batches):
+        at, lead, found = None, [], []
+        for a, part, role, b, raw in common.stream(batches, ("a", "part", "role", "doc_id", "shingles")):
+            if at != (a, part):
+                at, lead = (a, part), []
+            own = np.frombuffer(raw, np.uint64)
+            if not role:
+                lead.append(own)
+                continue
+            for other in lead:
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    found.append((a, b))
+                    break
+            if len(found) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    keyed = _with_sets(docs, members.unionByName(leaders)).repartition(common.partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role", "doc_id")
+    links = common.cut(keyed.mapInArrow(common.tidy(compare), "a long, b long"), "star-links")
+    common.drop(pairs, sizes, likely, parts)
+    return links
+
+
+def _rest_links(docs: DataFrame, classes: DataFrame, prefix: DataFrame, leads: DataFrame, joined: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Confirmed links a, b within lists whose members, leader aside, are of several components (joined: node, component)."""
+    rows = prefix.join(joined, "node", "left").select("post", "node", F.coalesce("component", "node").alias("own"))
+    open_ = common.cut(common.hot_join(rows, leads, "post").where("node != a").groupBy("post").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min("a").alias("a"), F.max("n").alias("n")).where("lo < hi").select("post", "a", "n"), "open-lists")
+    members = common.cut(common.hot_join(rows, open_, "post").where("node != a").select("a", "node", "own").distinct(), "open-members")
+    sized = members.join(classes.groupBy("node").agg(F.sum("n_shingles").alias("size")), "node").groupBy("a", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    home = F.when(F.col("n") * 2 >= BLOCK_MEMBERS, F.col("own"))  # small components share blocks (home null)
+    homes = common.cut(sized.groupBy("a", home.alias("home")).agg(F.greatest(F.ceil(F.sum("n") / BLOCK_MEMBERS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "homes")
+    numbered = homes.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("home", "blocks"))).alias("homes"), F.sum("blocks").alias("all"))
+    groups = common.cut(numbered.join(members.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a").select("a", "homes", F.col("all").cast("int").alias("all"), "n"), "open-groups")
+    # a member's blocks begin after those of the homes before its own
+    mine = F.filter("homes", lambda h: h.home.eqNullSafe(F.col("home")))[0]
+    before = F.aggregate(F.filter("homes", lambda h: (F.col("home").isNotNull() & h.home.isNull()) | F.coalesce(h.home < F.col("home"), F.lit(False))), F.lit(0), lambda x, h: x + h.blocks)
+    named = F.when(F.exists("homes", lambda h: F.coalesce(h.home == F.col("own"), F.lit(False))), F.col("own"))
+    placed = (
+        common.hot_join(members, groups, "a").withColumn("home", named).withColumn("first", before).withColumn("blocks", mine.blocks)
+        .withColumn("i", (F.col("first") + F.pmod(F.xxhash64(F.when(F.col("home").isNull(), F.col("own")).otherwise(F.col("node"))), F.col("blocks"))).cast("int"))
+        .select(F.col("node").alias("doc_id"), "a", "own", "i", F.when(F.col("home").isNotNull(), F.col("first")).otherwise(F.lit(-1)).alias("low"), F.when(F.col("home").isNotNull(), F.col("first") + F.col("blocks")).otherwise(F.lit(-1)).alias("high"), "all")
+    )
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda k: (k < F.col("low")) | (k >= F.col("high"))))
+    spread = _with_sets(docs, placed).withColumn("k", others).select("doc_id", "a", "own", F.least("i", "k").alias("i"), F.greatest("i", "k").alias("j"), (F.col("i") <= F.col("k")).alias("left"), (F.col("i") >= F.col("k")).alias("right"), "shingles")
 
     def compare(batches):
-        for (_, i, j), group in groupby(common.stream(batches, ("component", "i", "j", "doc_id", "own", "shingles")), key=lambda r: r[:3]):
+        for _, group in groupby(common.stream(batches, ("a", "i", "j", "doc_id", "own", "left", "right", "shingles")), key=lambda r: r[:3]):
             group = list(group)
             if len(group) < 2:
                 continue
-            sets = [np.frombuffer(r[5], np.uint64) for r in group]
-            where = np.array([r[4] for r in group])
-            found = block_links([r[3] for r in group], sets, where == i, where == j, matches, percent)
+            sets = [np.frombuffer(r[7], np.uint64) for r in group]
+            own, left, right = (np.array([r[k] for r in group]) for k in (4, 5, 6))
+            found = block_links([r[3] for r in group], sets, left, right, matches, percent, own)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    keyed = spread.repartition(common.partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
-    return keyed.mapInArrow(common.tidy(compare), "a long, b long")
+    keyed = spread.repartition(common.partitions(docs.sparkSession), "a", "i", "j").sortWithinPartitions("a", "i", "j", "doc_id")
+    links = common.cut(keyed.mapInArrow(common.tidy(compare), "a long, b long"), "rest-links")
+    common.drop(open_, members, homes, groups)
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -239,9 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = common.cut(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes"
     )
-    links = _links(docs, classes, _clusters(classes, matches), matches, percent)
-    joined = graph.components(links)
+    prefix, leads = _prefixes(classes, matches)
+    stars = _star_links(docs, classes, prefix, leads, matches, percent)
+    by_star = graph.components(stars)
+    rest = _rest_links(docs, classes, prefix, leads, by_star, matches, percent)
+    joined = by_star if rest.isEmpty() else graph.components(by_star.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest))
     named = common.cut(classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "named-classes")
+    common.drop(classes, prefix, leads, stars, rest, by_star, joined)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
