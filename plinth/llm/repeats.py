@@ -3,15 +3,20 @@
 A window is a string of WINDOW bytes within one text. Every window that also starts earlier in corpus order (smaller
 doc_id, or the same text further left) is removed with all bytes it covers. As the parse of equal content is equal:
 
-1. Phrases whose trigger occurs once hold no repeated window; a count over triggers leaves the rest. Each input
-   partition settles what repeats within it and asks about each trigger once, so no trigger is frequent in the shuffle.
-2. The dictionary: of phrases with equal bytes the first in corpus order. Every other occurrence is a repeat as a whole.
-3. Suffixes of dictionary phrases, cut at WINDOW bytes, are brought into order by content, then by the place of their
-   first occurrence in the parse; all but the first of each class are repeats. Only phrases of one trigger can share
-   one, so triggers are sorted apart. A trigger with many phrases is dealt out in shares of SHARE phrases; the suffixes
-   that are first in their share are then ordered over all shares by hash buckets.
-
-Content is compared by 64-bit hashes within a trigger (step 3) and 128-bit hashes of phrases (step 2).
+1. The parse cuts texts into phrases, each named by a trigger (plinth.llm.phrases). Phrases whose trigger occurs once
+   hold no repeated window; a count over triggers leaves the rest. Each input partition settles what repeats within it and
+   asks about each trigger once, so no trigger is frequent in the shuffle.
+2. The parse's suffixes in order: a phrase holds its windows whole, so an order of the parse by phrase, then by document
+   and place, is deep enough. The first of each phrase is its entry in the dictionary; every other one is a repeat as a whole.
+3. The suffix array of the dictionary: suffixes of its phrases, compared byte by byte up to WINDOW bytes (prefix doubling),
+   give classes of equal windows in alphabetical order.
+4. Both together give corpus order: within a class suffixes stand in the order of their phrases' first places in the
+   parse, and all but the first are repeats. Only phrases of one trigger can share a window, so the dictionary is dealt by
+   trigger. A trigger with many phrases is dealt out in shares of SHARE phrases; the suffixes that are first in their share
+   are then ordered over all shares.
+
+Phrases (at most 176 bytes), and windows of different shares, are the same if two independent 64-bit hashes of their bytes
+agree; within a share bytes are compared.
 
 Defined cases: null text is empty; texts shorter than the window lose nothing; a null doc_id comes before all others;
 of different texts with equal doc_ids the order is that of their hashes; rows equal in doc_id and text are one document
@@ -168,7 +173,7 @@ def _occurrences(docs: DataFrame, places: DataFrame, window: int, segment: int,
                 start = p.first[own]
                 end = start + p.windows[own] + window - 1
                 e1, e2 = p.ranges.of(start, end), hashing.Ranges(p.data, 1).of(start, end)
-                again = _later(hashing.pair_hash(hashing.pair_hash(e1, e2), row.astype(np.uint64)), at)
+                again = _later((e1, e2, row), at)
                 yield pa.RecordBatch.from_arrays(
                     [_signed(e1), _signed(e2), _signed(p.trigger[own]), pa.array(id_[row]), pa.array(dk[row]), pa.array(at.astype(np.int32)), pa.array(p.windows[own].astype(np.int32)), pa.array(again)],
                     ["e1", "e2", "trigger", "_id", "_dk", "at", "windows", "again"],
@@ -193,14 +198,36 @@ def _contexts(docs: DataFrame, chosen: DataFrame, window: int, segment: int, gro
     return keyed(docs).withColumn("_high", F.shiftright("_dk", 32)).join(chosen, ["_id", "_high"]).mapInArrow(common.tidy(run), "trigger long, shares int, share int, _id long, _dk long, at int, bytes binary")
 
 
-def _later(content: np.ndarray, *place: np.ndarray) -> np.ndarray:
+def _later(content: tuple[np.ndarray, ...], *place: np.ndarray) -> np.ndarray:
     """Of suffixes, those with equal content and an earlier place before them (place: most significant first)."""
-    order = np.lexsort((*reversed(place), content))
-    later = np.zeros(len(content), bool)
-    later[order[1:]] = content[order[1:]] == content[order[:-1]]
+    order = np.lexsort((*reversed(place), *content))
+    later = np.zeros(len(order), bool)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for c in content:
+        same &= c[order[1:]] == c[order[:-1]]
+    later[order[1:]] = same
     return later
 
 
+def suffix_classes(data: np.ndarray, window: int) -> np.ndarray:
+    """The rank of every string of `window` bytes among all of them, in alphabetical order; equal strings have equal ranks.
+    By prefix doubling: ranks of strings of twice the length come from the ranks of their halves."""
+    n = len(data)
+    if n < window:
+        return np.zeros(0, np.int64)
+    done = 8 if window >= 8 else 1
+    key = np.zeros(n - done + 1, np.uint64)
+    for k in range(done):
+        key = key << np.uint64(8) | data[k : n - done + 1 + k]
+    rank = np.unique(key, return_inverse=True)[1]
+    while done < window:
+        step = min(done, window - done)
+        pair = rank[: len(rank) - step] * (n + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        done += step
+    return rank
+
+
 def _runs(id_: np.ndarray, dk: np.ndarray, at: np.ndarray, window: int) -> list[np.ndarray]:
     """Consecutive windows as covered spans: _id, _dk, start, end; windows sorted by document and place."""
     if not len(at):
@@ -213,24 +240,24 @@ def _runs(id_: np.ndarray, dk: np.ndarray, at: np.ndarray, window: int) -> list[
 
 _ORDERED = "_id long, _dk long, s int, e int, trigger long, bucket int, suffixes binary"
 _ORDERED_ARROW = pa.schema([("_id", pa.int64()), ("_dk", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("trigger", pa.int64()), ("bucket", pa.int32()), ("suffixes", pa.binary())])
-_SUFFIX = np.dtype([("content", "<u8"), ("id", "<i8"), ("dk", "<i8"), ("at", "<i4")])
+_SUFFIX = np.dtype([("one", "<u8"), ("two", "<u8"), ("id", "<i8"), ("dk", "<i8"), ("at", "<i4")])
 
 
 def _ordered(contexts: DataFrame, window: int) -> DataFrame:
     """Covered spans within shares, and packed first suffixes of triggers with several shares (_id null)."""
 
     def order(rows):
-        trigger, shares, share, id_, dk, at, raw = (np.array(c) if k < 6 else c for k, c in enumerate(zip(*rows)))
+        trigger, shares, _, id_, dk, at, raw = (np.array(c) if k < 6 else c for k, c in enumerate(zip(*rows)))
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         count = size - window + 1
         row = np.repeat(np.arange(len(raw)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         start = (np.cumsum(size) - size)[row] + inner
-        content = hashing.pair_hash(hashing.Ranges(data).of(start, start + window), hashing.Ranges(data, 1).of(start, start + window))
+        classes = suffix_classes(data, window)[start]
         rank = np.empty(len(raw), np.int64)
         rank[np.lexsort((at, dk, id_))] = np.arange(len(raw))
-        later = _later(pair := hashing.pair_hash(content, share[row].astype(np.uint64)), rank[row], inner)
+        later = _later((classes,), rank[row], inner)
         by_place = np.argsort(rank[row], kind="stable")
         dup = by_place[later[by_place]]
         spans = _runs(id_[row[dup]], dk[row[dup]], at[row[dup]] + inner[dup], window)
@@ -239,9 +266,11 @@ def _ordered(contexts: DataFrame, window: int) -> DataFrame:
         open_ = np.flatnonzero(~later & (shares[row] > 1))
         if len(open_):
             packed = np.zeros(len(open_), _SUFFIX)
-            packed["content"], packed["id"], packed["dk"], packed["at"] = content[open_], id_[row[open_]], dk[row[open_]], at[row[open_]] + inner[open_]
+            first = start[open_]
+            packed["one"], packed["two"] = (hashing.Ranges(data, which).of(first, first + window) for which in (0, 1))
+            packed["id"], packed["dk"], packed["at"] = id_[row[open_]], dk[row[open_]], at[row[open_]] + inner[open_]
             own = trigger[row[open_]]
-            bucket = (content[open_] >> np.uint64(32)).astype(np.int64) % np.minimum(shares[row[open_]], BUCKETS)
+            bucket = (packed["one"] >> np.uint64(32)).astype(np.int64) % np.minimum(shares[row[open_]], BUCKETS)
             by = np.lexsort((bucket, own))
             packed, own, bucket = packed[by], own[by], bucket[by]
             cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
@@ -271,7 +300,7 @@ def _across(packed: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for _, group in groupby(common.stream(batches, ("trigger", "bucket", "suffixes")), key=lambda r: r[:2]):
             x = np.concatenate([np.frombuffer(r[2], _SUFFIX) for r in group])
-            x = x[_later(x["content"], x["id"], x["dk"], x["at"])]
+            x = x[_later((x["one"], x["two"]), x["id"], x["dk"], x["at"])]
             x = x[np.lexsort((x["at"], x["dk"], x["id"]))]
             spans = _runs(x["id"], x["dk"], x["at"].astype(np.int64), window)
             yield pa.RecordBatch.from_arrays([pa.array(spans[0]), pa.array(spans[1]), pa.array(spans[2].astype(np.int32)), pa.array(spans[3].astype(np.int32))], ["_id", "_dk", "s", "e"])
@@ -296,19 +325,21 @@ def _dictionary(occurrences: DataFrame) -> DataFrame:
 
 def _chosen(dictionary: DataFrame) -> DataFrame:
     """Dictionary phrases that share their trigger with others, gathered by document."""
-    counts = common.cut(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "trigger-counts")
+    counts = common.cut(dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trigger", "n", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "trigger-counts")
     share = F.pmod(F.col("e1"), F.col("shares")).cast("int")
     place = F.col("f_tail").bitwiseAND(0x7FFFFFFF).cast("int")
-    rows = dictionary.join(counts, "trigger").select(F.col("f_id").alias("_id"), F.shiftright("f_tail", 32).alias("_high"), F.struct(place.alias("at"), "shares", share.alias("share")).alias("x"))
+    rows = common.hot_join(dictionary.drop("n"), counts, "trigger").select(F.col("f_id").alias("_id"), F.shiftright("f_tail", 32).alias("_high"), F.struct(place.alias("at"), "shares", share.alias("share")).alias("x"))
     lists = rows.groupBy("_id", "_high").agg(F.collect_list("x").alias("x"))
-    return common.cut(lists.select("_id", "_high", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
+    out = common.cut(lists.select("_id", "_high", F.col("x.at").alias("places"), F.col("x.shares").alias("shares"), F.col("x.share").alias("share")), "chosen")
+    common.drop(counts)
+    return out
 
 
 def _copied(occurrences: DataFrame, dictionary: DataFrame, window: int) -> DataFrame:
     """Spans of phrases that are not the first of their bytes."""
     end = F.col("at") + F.col("windows") + window - 1
-    several = dictionary.where("n > 1").select("e1", "e2", "f_id", "f_tail")
-    found = occurrences.where("NOT again").join(several, ["e1", "e2"]).where(~((F.col("f_id") == F.col("_id")) & (F.col("f_tail") == _tail())))
+    several = dictionary.where("n > 1").select("e1", "e2", "f_id", "f_tail", "n")
+    found = common.hot_join(occurrences.where("NOT again"), several, ["e1", "e2"]).where(~((F.col("f_id") == F.col("_id")) & (F.col("f_tail") == _tail())))
     return found.unionByName(occurrences.where("again"), allowMissingColumns=True).select("_id", "_dk", F.col("at").alias("s"), end.alias("e"))
 
 
@@ -354,10 +385,12 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def attach(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
-    """All columns of docs, and _spans."""
-    found = spans(docs, window, segment, group).withColumnRenamed("spans", "_spans")
-    return keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).drop("_text").join(found, ["_id", "_dk"], "left").select("_row.*", "_spans")
+def attach(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> tuple[DataFrame, str]:
+    """All columns of docs with one more, the spans, and its name."""
+    name = common.free("_spans", docs.columns)
+    found = spans(docs, window, segment, group)
+    rows = keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("_row")).drop("_text").join(found, ["_id", "_dk"], "left")
+    return rows.select("_row.*", F.col("spans").alias(name)), name
 
 
 def digests(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
@@ -366,12 +399,13 @@ def digests(docs: DataFrame, window: int = WINDOW, segment: int | None = None, g
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(*(common.column(batch, c) for c in ("doc_id", "text", "_spans"))):
+            for doc_id, text, found in zip(*(common.column(batch, c) for c in ("doc_id", "text", name))):
                 data, runs = (text or "").encode(), merged(found)
                 rows.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": sum(e - s for s, e in runs), "n_spans": len(runs), "kept_sha256": hashlib.sha256(kept_bytes(data, runs)).hexdigest()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    return attach(docs.select("doc_id", "text"), window, segment, group).mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, name = attach(docs.select("doc_id", "text"), window, segment, group)
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without(docs: DataFrame, window: int = WINDOW, segment: int | None = None, group: int | None = None) -> DataFrame:
@@ -380,18 +414,19 @@ def without(docs: DataFrame, window: int = WINDOW, segment: int | None = None, g
     def run(batches):
         for batch in batches:
             texts = []
-            for text, found in zip(common.column(batch, "text"), common.column(batch, "_spans")):
+            for text, found in zip(common.column(batch, "text"), common.column(batch, name)):
                 texts.append(kept_bytes(text.encode(), merged(found)).decode("utf-8", "ignore") if found else text)
             columns = []
             for f in batch.schema:
-                if f.name == "_spans":
+                if f.name == name:
                     continue
                 value = batch.column(batch.schema.get_field_index(f.name))
                 if f.name == "text":
                     value = pa.array(texts, f.type)
                 elif f.name == "n_chars":
-                    value = pa.array([v if not found else len(t) for v, t, found in zip(value.to_pylist(), texts, common.column(batch, "_spans"))], f.type)
+                    value = pa.array([v if not found else len(t) for v, t, found in zip(value.to_pylist(), texts, common.column(batch, name))], f.type)
                 columns.append((f.name, value))
             yield pa.RecordBatch.from_arrays([v for _, v in columns], [n for n, _ in columns])
 
-    return attach(docs, window, segment, group).mapInArrow(common.tidy(run), docs.schema)
+    rows, name = attach(docs, window, segment, group)
+    return rows.mapInArrow(common.tidy(run), docs.schema)

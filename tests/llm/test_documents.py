@@ -78,6 +78,42 @@ def test_near_duplicates_in_small_blocks(docs, corpus, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs, 85).collect())) == brute_components(corpus, 85)
 
 
+def test_near_duplicates_by_hot_lists(docs, corpus, monkeypatch):
+    for name, value in (("HOT_KEYS", 3), ("HOT_ROWS", 2)):
+        monkeypatch.setattr(common, name, value)
+    assert sorted(map(tuple, minhash.near_duplicates(docs, 85).collect())) == brute_components(corpus, 85)
+
+
+def test_near_duplicates_without_a_common_original(spark, monkeypatch):
+    """Copies of copies: no leader is near all, so components grow along chains, over small and large ones."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    rng = random.Random(3)
+    rows, base = [], prose(rng, 80).split()
+    for k in range(60):
+        rows.append((rng.randrange(10**6), " ".join(base)))
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            base[rng.randrange(len(base))] = prose(rng, 1)
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, minhash.near_duplicates(shuffled, 85).collect())) == brute_components(rows, 85)
+
+
+def test_a_group_of_near_copies_costs_as_many_comparisons(spark):
+    rng = random.Random(8)
+    base = prose(rng, 100).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 10_000):
+        words = list(base)
+        words[rng.randrange(100)] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    signed = minhash._signed(docs)
+    classes = common.cut(signed.selectExpr("key", "doc_id AS node", "n_shingles", "signature"), "classes")
+    prefix, leads = minhash._prefixes(classes, minhash.least_matches(85))
+    assert prefix.join(leads, "post").where("node != a").select("a", "node").distinct().count() < 5 * len(rows)
+    found = minhash.near_duplicates(docs, 85)
+    assert {r.component_id for r in found.collect()} == {0}
+
+
 def test_near_duplicates_of_null_ids_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=repr)
@@ -127,6 +163,29 @@ def test_repeats_in_shares_segments_and_portions(docs, corpus, monkeypatch):
     assert sorted(map(tuple, repeats.digests(docs).collect())) == brute_repeats(corpus)
 
 
+def test_repeats_by_hot_phrases(docs, corpus, monkeypatch):
+    for module, name, value in ((repeats, "SHARE", 3), (common, "HOT_KEYS", 5), (common, "HOT_ROWS", 2)):
+        monkeypatch.setattr(module, name, value)
+    assert sorted(map(tuple, repeats.digests(docs).collect())) == brute_repeats(corpus)
+
+
+@pytest.mark.parametrize("window", [1, 3, 8, 13, 100])
+def test_suffix_classes_are_alphabetical(window):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    data[200:350] = data[:150]
+    strings = [data[i : i + window].tobytes() for i in range(len(data) - window + 1)]
+    place = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert repeats.suffix_classes(data, window).tolist() == [place[x] for x in strings]
+    assert len(repeats.suffix_classes(data[: window - 1], window)) == 0
+
+
+def test_repeats_beside_clashing_columns(spark, corpus):
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in corpus], "doc_id long, text string, _spans string, spans string")
+    out = repeats.without(df)
+    assert out.columns == df.columns and {(r._spans, r.spans) for r in out.collect()} == {("a", "b")}
+
+
 def test_repeats_of_a_text_in_many_segments(spark):
     """Each segment is a group of its own; the earliest place of the earliest document stays."""
     rng = random.Random(21)
