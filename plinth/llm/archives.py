@@ -168,7 +168,7 @@ def convert(spark: SparkSession, arcs: list[str], path: str, min_bytes: int = 0)
         return []
 
     def scan(batches):
-        out = pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("size", pa.int64())])
+        out = pa.schema([("file", pa.int64()), ("seq", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("date", pa.string())])
         for batch in batches:
             for k in common.column(batch, "id"):
                 rows = []
@@ -176,16 +176,18 @@ def convert(spark: SparkSession, arcs: list[str], path: str, min_bytes: int = 0)
                     for seq, record in enumerate(read_arc(stream)):
                         head, payload = record.http
                         mark = http_field(head, "X-Page-Id")
-                        rows.append({"file": k, "seq": seq, "page_id": None if mark is None else int(mark), "digest": base32_sha1(payload), "size": len(payload)})
+                        rows.append({"file": k, "seq": seq, "page_id": None if mark is None else int(mark), "digest": base32_sha1(payload), "size": len(payload), "date": record.fields["Archive-date"]})
                 yield pa.RecordBatch.from_pylist(rows, out)
 
-    index = common.cut(spark.range(0, n, 1, n).mapInArrow(common.tidy(scan), "file long, seq long, page_id long, digest string, size long"), "arc-index")
-    order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("page_id"), F.col("file").alias("file"), F.col("seq").alias("seq"))
-    firsts = common.cut(index.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(order).alias("first")), "arc-firsts")
+    index = common.cut(spark.range(0, n, 1, n).mapInArrow(common.tidy(scan), "file long, seq long, page_id long, digest string, size long, date string"), "arc-index")
+    order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("page_id"), F.col("file").alias("file"), F.col("seq").alias("seq"), F.col("date").alias("date"))
+    large = F.col("size") >= min_bytes
+    firsts = common.cut(index.where(large).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "arc-firsts")
     decided = (
-        index.join(firsts, "digest", "left")
-        .withColumn("revisit", F.coalesce((F.col("size") >= min_bytes) & ~((F.col("first.file") == F.col("file")) & (F.col("first.seq") == F.col("seq"))), F.lit(False)))
-        .select("file", "seq", "digest", "revisit", F.col("first.page_id").alias("to_page"), F.col("first.file").alias("to_file"), F.col("first.seq").alias("to_seq"))
+        common.hot_join(index.where(large), firsts, "digest")
+        .unionByName(index.where(~large), allowMissingColumns=True)
+        .withColumn("revisit", F.coalesce(large & ~((F.col("first.file") == F.col("file")) & (F.col("first.seq") == F.col("seq"))), F.lit(False)))
+        .select("file", "seq", "digest", "size", "revisit", F.col("first.date").alias("to_date"), F.col("first.file").alias("to_file"), F.col("first.seq").alias("to_seq"))
     )
 
     def write(batches):
@@ -218,8 +220,10 @@ def convert(spark: SparkSession, arcs: list[str], path: str, min_bytes: int = 0)
         finish()
         yield pa.RecordBatch.from_pylist([{"file": f} for f in made], pa.schema([("file", pa.string())]))
 
-    ordered = decided.repartition(n, "file").sortWithinPartitions("file", "seq")
-    return sorted(r.file for r in ordered.mapInArrow(common.tidy(write), "file string").collect())  # a row a file
+    ordered = decided.repartitionByRange(n, "file").sortWithinPartitions("file", "seq")
+    made = sorted(r.file for r in ordered.mapInArrow(common.tidy(write), "file string").collect())  # a row a file
+    common.drop(index, firsts)
+    return made
 
 
 def warc_of(record: ArcRecord, arcs: list[str], row: dict) -> bytes:
@@ -239,19 +243,18 @@ def warc_of(record: ArcRecord, arcs: list[str], row: dict) -> bytes:
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
     ]
     if row["revisit"]:
-        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{record_uri(arcs[row['to_file']], row['to_seq'])}>"), ("WARC-Refers-To-Date", date)]
-        if row["to_page"] is not None:
-            headers.append(("X-Refers-To-Page-Id", str(row["to_page"])))
+        headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{record_uri(arcs[row['to_file']], row['to_seq'])}>"), ("WARC-Refers-To-Date", iso_date(row["to_date"])), ("X-Payload-Length", str(row["size"]))]
     return warc_bytes(headers, block)
 
 
 def read_pages(spark: SparkSession, warcs: list[str]) -> DataFrame:
     """Per response, revisit or resource record: page_id, payload_bytes, payload_digest, record_type, refers_to, url,
-    record_id. Digests of blocks and of present payloads are checked."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string())])
-    text = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
+    record_id. Digests of blocks and of present payloads are checked; refers_to is the page of the record that a revisit's
+    WARC-Refers-To names."""
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("target", pa.string()), ("url", pa.string()), ("record_id", pa.string())])
+    text = "page_id long, payload_bytes long, payload_digest string, record_type string, target string, url string, record_id string"
     if not warcs:
-        return spark.createDataFrame([], text)
+        return spark.createDataFrame([], text.replace("target string", "refers_to long"))
 
     def read(batches):
         for batch in batches:
@@ -266,9 +269,15 @@ def read_pages(spark: SparkSession, warcs: list[str]) -> DataFrame:
                         head, payload = ArcRecord(0, {}, block).http
                         if headers["warc-block-digest"] != f"sha1:{base32_sha1(block)}" or kind != "revisit" and base32_sha1(payload) != digest:
                             raise ValueError(f"{warcs[k]}: a digest differs at {headers['warc-record-id']}")
-                        size = int(http_field(head, "Content-Length") or 0) if kind == "revisit" else len(payload)
-                        mark, to = http_field(head, "X-Page-Id"), headers.get("x-refers-to-page-id")
-                        rows.append({"page_id": mark and int(mark), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": to and int(to), "url": headers["warc-target-uri"], "record_id": headers["warc-record-id"].strip("<>")})
+                        size = int(headers["x-payload-length"]) if kind == "revisit" else len(payload)
+                        mark, to = http_field(head, "X-Page-Id"), headers.get("warc-refers-to")
+                        rows.append({"page_id": mark and int(mark), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "target": to and to.strip("<>"), "url": headers["warc-target-uri"], "record_id": headers["warc-record-id"].strip("<>")})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.range(0, len(warcs), 1, len(warcs)).mapInArrow(common.tidy(read), text)
+    rows = common.cut(spark.range(0, len(warcs), 1, len(warcs)).mapInArrow(common.tidy(read), text), "warc-records")
+    revisits = rows.where("target IS NOT NULL")
+    named = rows.select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
+    targets = revisits.groupBy("target").agg(F.count(F.lit(1)).alias("n")).join(named, "target", "left")
+    others = rows.where("target IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    found = common.hot_join(revisits, targets, "target").unionByName(others, allowMissingColumns=True)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
