@@ -11,6 +11,7 @@ equal doc_ids keep one entry each; an empty table gives no shard; extra columns
 
 from __future__ import annotations
 
+from array import array
 import bisect
 import struct
 from collections.abc import Iterator
@@ -65,13 +66,13 @@ def _probes(key_hash: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Streams entries in key order to a file; in memory are one block, the index and 8 bytes a key."""
+    """Streams entries in key order to a file; in memory are one block, the index, 8 bytes a key and the filter."""
 
     def __init__(self, out, id_width: int):
         self.out, self.width, self.at = out, id_width, 0
         self.block, self.last, self.in_block = bytearray(), b"", 0
         self.index: list[tuple[bytes, int, int, int]] = []
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
         self.ids = 0
         self.squeeze = zstandard.ZstdCompressor(level=1)
 
@@ -108,11 +109,12 @@ class Writer:
         index = b"".join(_varint(len(k)) + k + _varint(a) + _varint(s) + _varint(n) for k, a, s, n in self.index)
         where = self._put(index)
         bits = max(64, -(-len(self.hashes) * BLOOM_BITS_PER_KEY // 64) * 64)
-        flags = np.zeros(bits, np.uint8)
-        hashes = np.array(self.hashes, np.uint64)
+        flags = np.zeros(bits // 8, np.uint8)
+        hashes = np.frombuffer(self.hashes, np.uint64) if self.hashes else np.zeros(0, np.uint64)
         for part in np.array_split(hashes, len(hashes) // 100_000 + 1):
-            flags[_probes(part, bits).ravel()] = 1
-        bloom = self._put(np.packbits(flags, bitorder="little").tobytes())
+            at = _probes(part, bits).ravel()
+            np.bitwise_or.at(flags, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        bloom = self._put(flags.tobytes())
         self._put(_FOOTER.pack(*where, *bloom, len(self.hashes), self.ids, self.width, MAGIC))
 
 
