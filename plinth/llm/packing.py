@@ -125,13 +125,14 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = common.cut(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "piece-offsets")
-    ranked = cut_pieces.join(offsets.hint("merge"), ["part", "length"])  # offsets grow with the partitions: never broadcast
-    ranked = ranked.withColumn("_rank", F.col("before") + F.col("lrank")).drop("before", "part", "lrank")
+    earlier, rank_name = common.free("before", cut_pieces.columns), common.free("_rank", cut_pieces.columns)
+    ranked = cut_pieces.join(offsets.withColumnRenamed("before", earlier).hint("merge"), ["part", "length"])  # offsets grow with the partitions: never broadcast
+    ranked = ranked.withColumn(rank_name, F.col(earlier) + F.col("lrank")).drop(earlier, "part", "lrank")
 
     def locate(batches):
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False)
+            rank = batch.column(batch.schema.get_field_index(rank_name)).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
@@ -140,10 +141,10 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 j = rank[at] - first[k]
                 sequence[at] = bin_[k] + j // uses[k]
                 offset[at] = off[k] + j % uses[k] * x
-            keep = [f.name for f in batch.schema if f.name != "_rank"]
+            keep = [f.name for f in batch.schema if f.name != rank_name]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != rank_name)
     return ranked.mapInArrow(common.tidy(locate), f"{fields}, sequence_id long, offset long")
 
 
