@@ -7,7 +7,7 @@ is the set of chunk digests with chunk lengths; its likeness to another is the s
 set holds too (containment).
 
 Defined cases: null text is empty; an empty text has the empty fingerprint, alike (1) to an empty one and unlike (0) to
-others; a null doc_id comes last in descending order; equal doc_ids are ordered by text; repeated rows get a row each;
+others; a null doc_id comes last in descending order; equal doc_ids are ordered by a hash of the text; repeated rows get a row each;
 texts are read whole; a single document is its own neighbour; an empty table gives no rows; extra columns are dropped.
 """
 
@@ -26,6 +26,8 @@ from plinth.llm import common, hashing
 
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 32, 64, 256
 STRICT_BITS, LOOSE_BITS = 7, 4
+#: Rows of the sample that part bounds come from, a part.
+SAMPLED = 8
 _GEAR = (hashing.TABLES[0] >> np.uint64(16)).astype(np.uint32)
 _LOWEST = -(1 << 63)
 
@@ -90,25 +92,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(rows: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Where parts but the first begin, in order: rows of a hash sample (SAMPLED a part), with the first row of all at the
+    end. Bounds even the parts out; they change no result."""
+    count = rows.count()
+    if not count:
+        return None
+    stride = max(1, count // (SAMPLED * parts))
+    sample = rows.where(F.pmod(F.xxhash64("_place", "_mix"), F.lit(stride)) == 0).select("_place", "_mix").distinct().collect()  # SAMPLED rows a part
+    marks = sorted((r._place, r._mix) for r in sample)
+    top = rows.agg(F.min("_place")).first()[0]
+    first = (top, rows.where(F.col("_place") == top).agg(F.min("_mix")).first()[0])
+    chosen = sorted({marks[k * len(marks) // parts] for k in range(1, parts)} if marks else set())
+    both = np.array([*chosen, first], np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _part(place: np.ndarray, mix: np.ndarray, places: np.ndarray, mixes: np.ndarray) -> np.ndarray:
+    """How many bounds (in order) each row is not before."""
+    low, high = np.searchsorted(places, place, "left"), np.searchsorted(places, place, "right")
+    out = low.copy()
+    for k in np.unique(low[high > low]).tolist():
+        at = np.flatnonzero((low == k) & (high > low))
+        out[at] = k + np.searchsorted(mixes[k : high[at[0]]], mix[at], "right")
+    return out
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Rows in descending doc_id order within parts, each part followed by the row that comes next: _part, _halo, doc_id,
-    text. Text is shuffled once; only part bounds reach the driver."""
+    text. Text is shuffled once; a bounded sample a part reaches the driver, and the bounds go to the tasks as an array."""
     spark = docs.sparkSession
-    n = max(64, 4 * common.partitions(spark))
-    rows = common.texts(docs).withColumn("_key", F.coalesce("doc_id", F.lit(_LOWEST)))
-    bounds = sorted(set(rows.select(F.col("_key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n)))
-    rows = rows.withColumn("_part", F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0))
-    tops = sorted((r._part, r.top) for r in rows.groupBy("_part").agg(F.max("_key").alias("top")).collect())  # a row a part
-    if not tops:
-        return rows.select("_part", F.lit(0).alias("_halo"), "doc_id", "text", "_key")
-    takes = {top: tops[(k + 1) % len(tops)][0] for k, (_, top) in enumerate(tops)}
-    heads = F.create_map(*(F.lit(x) for kv in takes.items() for x in kv))
-    places = F.when(
-        F.col("_key").isin(list(takes)),
-        F.array(F.struct(F.col("_part").alias("_part"), F.lit(0).alias("_halo")), F.struct(heads[F.col("_key")].alias("_part"), F.lit(1).alias("_halo"))),
-    ).otherwise(F.array(F.struct(F.col("_part").alias("_part"), F.lit(0).alias("_halo"))))
-    spread = rows.select("doc_id", "text", "_key", F.inline(places).alias("_part", "_halo"))
-    return spread.repartition(common.partitions(spark), "_part").sortWithinPartitions("_part", "_halo", F.desc("_key"), "text")
+    parts = max(64, 4 * common.partitions(spark))
+    rows = common.texts(docs).select("doc_id", "text", F.bitwise_not(F.coalesce("doc_id", F.lit(_LOWEST))).alias("_place"), F.xxhash64("text").alias("_mix"))
+    found = _bounds(rows, parts)
+    if found is None:
+        return rows.select(F.lit(0).alias("_part"), F.lit(0).alias("_halo"), "doc_id", "text")
+    places, mixes = found[0][:-1], found[1][:-1]
+    top = (found[0][-1], found[1][-1])
+
+    def deal(batches):
+        """Rows with their part; the first row of a part once more, for the part before it."""
+        for batch in batches:
+            place, mix = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("_place", "_mix"))
+            part = _part(place, mix, places, mixes)
+            k = np.maximum(part - 1, 0)
+            begins = np.flatnonzero((part > 0) & (places[k] == place) & (mixes[k] == mix)) if len(places) else np.zeros(0, np.int64)
+            ends = np.flatnonzero((place == top[0]) & (mix == top[1]))  # after the last part comes the first row of all
+            take = np.concatenate([np.arange(len(part)), begins, ends])
+            where = np.concatenate([part, part[begins] - 1, np.full(len(ends), len(places))])
+            halo = (np.arange(len(take)) >= len(part)).astype(np.int32)
+            out = batch.take(pa.array(take))
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(halo), *out.columns], ["_part", "_halo", *out.schema.names])
+
+    spread = rows.mapInArrow(common.tidy(deal), "_part int, _halo int, doc_id long, text string, _place long, _mix long")
+    return spread.repartition(common.partitions(spark), "_part").sortWithinPartitions("_part", "_halo", "_place", "_mix", "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:
