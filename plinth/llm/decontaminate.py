@@ -12,8 +12,9 @@ a region of hits can reach the threshold has its similarity to all windows there
 pair as similar as asked is lost, whatever the weights.
 
 A shingle's weight is HEAVIEST over the number of distinct benchmark texts that hold it, counted over the whole benchmark.
-The items are held whole in each task, ITEMS_AT_ONCE at most; a larger benchmark is taken in that many passes, which all
-use the same weights, so the passes bound memory and change no result.
+The index of ITEMS_AT_ONCE items is held in a task at most; a larger benchmark is taken in that many passes, which all
+use the same weights, so the passes bound memory and change no result. The corpus is scanned once, for documents that hold
+a shingle of any item (or a whole short item); passes read those alone.
 
 Defined cases: null and empty texts hold nothing; a document shorter than an item is one window for it; items of fewer
 than 5 words are found as they are; items without words, or with a null text, are skipped; of windows that tie the first
@@ -85,20 +86,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = SIMILARITY, weights: tuple[np.ndarray, np.ndarray] | None = None):
         self.threshold = threshold
         self.light, self.weights = shared(t for _, t in items) if weights is None else weights
-        self.ids, self.sizes, self.shingles = [], [], []
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for item_id, text in items:
-            hashes = minhash.word_hashes([text])[0]
-            if len(hashes) >= WORDS:
-                self.ids.append(item_id)
-                self.sizes.append(len(hashes))
-                self.shingles.append(chains(hashes, WORDS))
-            elif len(hashes):
-                self.short.setdefault(len(hashes), {}).setdefault(int(chains(hashes, len(hashes))[0]), []).append(item_id)
-        every = np.concatenate([np.unique(s) for s in self.shingles]) if self.shingles else np.zeros(0, np.uint64)
-        self.known = np.unique(every)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.known & np.uint64((1 << _FILTER_BITS) - 1)] = True
+        self.learn(items)
         self.sizes = np.array(self.sizes, np.int64)
         self.sets = [np.unique(s, return_counts=True) for s in self.shingles]
         self.totals = np.array([self.weight(s).sum() for s in self.shingles], np.int64)
@@ -118,6 +106,23 @@ class Index:
             order = np.argsort(code, kind="stable")
             self.posting.append((code[order], (order // len(flips)).astype(np.int32)))
 
+    def learn(self, items: list[tuple[int, str]]) -> None:
+        """The items' words and shingles, and what tells a shingle that some item has."""
+        self.ids, self.sizes, self.shingles = [], [], []
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for item_id, text in items:
+            hashes = minhash.word_hashes([text])[0]
+            if len(hashes) >= WORDS:
+                self.ids.append(item_id)
+                self.sizes.append(len(hashes))
+                self.shingles.append(chains(hashes, WORDS))
+            elif len(hashes):
+                self.short.setdefault(len(hashes), {}).setdefault(int(chains(hashes, len(hashes))[0]), []).append(item_id)
+        every = np.concatenate([np.unique(s) for s in self.shingles]) if self.shingles else np.zeros(0, np.uint64)
+        self.known = np.unique(every)
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self.known & np.uint64((1 << _FILTER_BITS) - 1)] = True
+
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.light):
             return np.full(len(shingles), HEAVIEST)
@@ -250,6 +255,29 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return [[(r.item_id, r.text) for r in items.where(own == k).orderBy("item_id", "text").collect()] for k in range(groups)]
 
 
+def _touched(items: list[tuple[int, str]]):
+    """A filter over batches: documents that hold a shingle of some item, or all words of an item of fewer."""
+    chosen = Index([], weights=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    chosen.learn(items)
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            texts = [t or "" for t in common.column(batch, "text")]
+            for part in minhash.in_pieces(texts):
+                hashes, doc, _, _ = minhash.word_hashes(texts[part])
+                found = np.zeros(part.stop - part.start, bool)
+                for k, wanted in [(WORDS, None), *chosen.short.items()]:
+                    chain = chains(hashes, k)
+                    if len(chain):
+                        hit = chosen.holds(chain) if wanted is None else np.isin(chain, np.array(list(wanted), np.uint64))
+                        found[doc[: len(chain)][hit & (doc[: len(chain)] == doc[k - 1 :])]] = True
+                keep.append(found)
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return run
+
+
 def _documents_hits(texts: list[str], index: Index):
     """Hits of each text in turn."""
     for part in minhash.in_pieces(texts):
@@ -270,6 +298,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
 
     passes = _passes(benchmark)
     weights = shared(t for items in passes for _, t in items)
+    rows = common.texts(docs)
+    if len(passes) > 1:
+        rows = common.cut(rows.mapInArrow(common.tidy(_touched([i for items in passes for i in items])), "doc_id long, text string"), "touched")
 
     def one(items):
         def run(batches):
@@ -279,7 +310,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
                 rows = [(i, *h) for i, hits in zip(ids, _documents_hits(common.column(batch, "text"), index)) for h in hits]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-        return common.texts(docs).mapInArrow(common.tidy(run), text)
+        return rows.mapInArrow(common.tidy(run), text)
 
     out = None
     for items in passes:
