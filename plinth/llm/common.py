@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: The most keys that are taken for frequent, and the rows below which no key is.
 HOT_KEYS, HOT_ROWS = 2000, 20_000
-#: Used only where the session names no shared folder (local mode, tests).
+#: Used only in local mode (tests), where the session names no shared folder.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/plinth"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a local default where it is unset."""
+    """The folder all executors and the driver share: spark.checkpoint.dir. Unset, it has a default in local mode alone: on
+    a cluster every machine would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        spark.conf.set("spark.checkpoint.dir", found := LOCAL_FALLBACK)
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or LOCAL_FALLBACK).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
