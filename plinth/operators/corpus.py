@@ -29,10 +29,11 @@ def negatives(rows: DataFrame, share: float) -> DataFrame:
     )
 
 
-def split(rows: DataFrame, holdout: float, seed: int = 0, parts: int = 64) -> DataFrame:
+def split(rows: DataFrame, holdout: float, seed: int = 0, parts: int | None = None) -> DataFrame:
     """Seeded holdout of an exact share, at least one row: ranks by hash within hash ranges, plus the counts before."""
+    parts = parts or max(64, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "image", "target"))
-    ranked = rows.withColumn("_mark", mark).withColumn("_part", (F.conv(F.substring("_mark", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int"))
+    ranked = rows.withColumn("_mark", mark).withColumn("_part", (F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # `parts` rows
     total = counts.agg(F.sum("_n")).first()[0] or 0

@@ -23,14 +23,15 @@ def latest_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.where(number.isNotNull()).agg(F.max_by(column, number).alias(column), F.max(number).alias("step"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def run_stage(spark: SparkSession, manifest_path: str, stage: str, work: Callable[[], None], attempts: int = 3) -> bool:
     """Run a stage unless the manifest has it, again after a failure; False if it was done before."""
-    try:
-        manifest = spark.read.parquet(manifest_path)
-        if finished(manifest, stage):
-            return False
-    except Exception:  # noqa: BLE001  no manifest yet
-        pass
+    if exists(spark, manifest_path) and finished(spark.read.parquet(manifest_path), stage):
+        return False
     for attempt in range(attempts):
         try:
             work()

@@ -89,6 +89,11 @@ def encode(walls: Sequence[dict], rooms: Sequence[dict] = (), short: bool = True
 
 def loads(text: str | None) -> dict | None:
     """An object from text: as it is, else its outermost braces, else the complete walls of a truncated one."""
+    return whole(text) or salvage(text or "")
+
+
+def whole(text: str | None) -> dict | None:
+    """An object from text: as it is, else its outermost braces."""
     text = (text or "").strip()
     outer = re.search(r"\{.*\}", text, re.S)
     for candidate in (text, outer[0] if outer else ""):
@@ -97,7 +102,7 @@ def loads(text: str | None) -> dict | None:
             return found if isinstance(found, dict) else None
         except ValueError:
             pass
-    return salvage(text)
+    return None
 
 
 def salvage(text: str) -> dict | None:
@@ -129,8 +134,8 @@ def _closing(text: str, at: int) -> int | None:
 
 
 def decode(text: str | None) -> list[dict]:
-    """Canonical walls from a target or prediction with short or long keys; malformed walls go."""
-    doc = loads(text) or {}
+    """Canonical walls from a target or prediction with short or long keys; malformed walls go, and a truncated text has none."""
+    doc = whole(text) or {}
     pick = lambda d, k, default=None: d.get(k, d.get(_LONG[k], default))
     out = []
     for w in doc.get("walls") or ():
@@ -186,7 +191,7 @@ def walls_of_rooms(rooms: Sequence[tuple[str, Sequence]], thickness: float, arcs
                 pieces += [(p, q, 0) for p, q in zip(run, run[1:])]
         for p, q, k in pieces:
             key = tuple(sorted(tuple(round(v / JOIN_PIXELS) for v in e) for e in (p, q)))
-            if key[0] == key[1]:
+            if pl.dist(p, q) < JOIN_PIXELS:
                 continue
             if key not in where:
                 where[key] = f"wall_{len(walls) + 1}"

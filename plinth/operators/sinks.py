@@ -52,7 +52,7 @@ def data_yaml(path: str, classes: Sequence[str] = ("door", "window")) -> str:
 def portable(rows: DataFrame, image: str = "image") -> DataFrame:
     """One row per image under a flat relative name in image order, `NNNNNN.ext`."""
     first = rows.groupBy(image).agg(F.min_by(F.struct(*(c for c in rows.columns if c != image)), F.struct(*(F.col(c).cast("string") for c in rows.columns if c != image))).alias("r"))
-    ranked = gapless(first.withColumn("_key", F.xxhash64(image)), "_key", "slot")
+    ranked = gapless(first, image, "slot")
     extension = F.regexp_extract(image, r"(\.\w+)$", 1)
     return ranked.select(F.concat(F.format_string("images/%06d", "slot"), extension).alias(image), "r.*")
 

@@ -11,6 +11,12 @@ from plinth.registry import query
 
 _C = F.col
 
+
+def recursive(text: str) -> str:
+    """The oracle's SQL with recursive parts."""
+    return with_views("WITH " + text).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 #: Foot of an opening on each wall of its plan, in SQL for the oracle.
 _FEET = """feet AS (SELECT o.plan_id, o.opening, o.kind, o.width, o.px, o.py, w.idx, w.th, w.x1, w.y1, w.x2, w.y2,
     greatest(0.0, least(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) * 1.0 / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0))) AS t
@@ -90,21 +96,6 @@ sql_query(
     AND greatest(r.x0 - greatest(w.x1, w.x2), least(w.x1, w.x2) - r.x1, 0) <= 2 * w.th AND greatest(r.y0 - greatest(w.y1, w.y2), least(w.y1, w.y2) - r.y1, 0) <= 2 * w.th
     GROUP BY r.plan_id, r.room""",
 )
-sql_query(
-    "double_line_candidates",
-    """WITH s AS (SELECT plan_id, idx, (x1 + x2) / 2.0 AS mx, (y1 + y2) / 2.0 AS my, CAST(x2 - x1 AS DOUBLE) AS dx, CAST(y2 - y1 AS DOUBLE) AS dy,
-        sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM walls),
-    p AS (SELECT a.plan_id, a.idx AS i, b.idx AS j, abs(a.dx * b.dy - a.dy * b.dx) / (a.len * b.len) AS sine, abs((b.mx - a.mx) * a.dy - (b.my - a.my) * a.dx) / a.len AS gap
-        FROM s a JOIN s b ON a.plan_id = b.plan_id AND a.idx < b.idx WHERE a.len > 0 AND b.len > 0)
-    SELECT plan_id, i, j, round(gap, 4) AS gap FROM p WHERE sine <= sin(radians(8)) AND gap BETWEEN 2 AND 80""",
-)
-sql_query(
-    "arc_band_members",
-    """WITH a AS (SELECT plan_id, idx, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, 50 + th * 10 AS radius FROM walls WHERE cv <> 0),
-    m AS (SELECT o.plan_id, o.opening, a.idx, row_number() OVER (PARTITION BY o.plan_id, o.opening ORDER BY a.idx) AS k FROM openings o JOIN a ON o.plan_id = a.plan_id
-        WHERE abs(sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy)) - radius) <= 60.00001)
-    SELECT plan_id, opening, idx AS arc FROM m WHERE k = 1""",
-)
 sql_query(
     "id_remap_join",
     """WITH final AS (SELECT plan_id, idx AS src, row_number() OVER (PARTITION BY plan_id ORDER BY y1, x1, idx) AS id FROM walls WHERE NOT (x1 = x2 AND y1 = y2)),
@@ -116,23 +107,11 @@ sql_query(
     """SELECT a.plan_id, a.room AS room_a, b.room AS room_b, CAST(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS BIGINT) AS overlap
     FROM rooms a JOIN rooms b ON a.plan_id = b.plan_id AND a.room < b.room""",
 )
-sql_query(
-    "incident_rooms",
-    """WITH d AS (SELECT o.plan_id, o.opening, r.room, greatest(r.x0 - px, px - r.x1, 0) + greatest(r.y0 - py, py - r.y1, 0) AS d FROM openings o JOIN rooms r ON o.plan_id = r.plan_id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY plan_id, opening ORDER BY d, room) AS k FROM d WHERE d <= 200)
-    SELECT plan_id, opening, max(CASE WHEN k = 1 THEN room END) AS first_room, max(CASE WHEN k = 2 THEN room END) AS second_room, count(*) AS n FROM k GROUP BY plan_id, opening""",
-)
 sql_query(
     "duplicate_walls",
     """WITH k AS (SELECT plan_id, idx, least(x1, x2) AS a, greatest(x1, x2) AS b, least(y1, y2) AS c FROM walls)
     SELECT DISTINCT t.plan_id, t.idx FROM k s JOIN k t ON s.plan_id = t.plan_id AND s.idx < t.idx AND abs(s.a - t.a) <= 60 AND abs(s.b - t.b) <= 60 AND abs(s.c - t.c) <= 60""",
 )
-sql_query(
-    "opening_overlap",
-    """WITH s AS (SELECT plan_id, opening, px % 5 AS wall, py AS lo, py + width AS hi FROM openings),
-    p AS (SELECT *, lag(hi) OVER (PARTITION BY plan_id, wall ORDER BY lo, opening) AS before_hi, lag(opening) OVER (PARTITION BY plan_id, wall ORDER BY lo, opening) AS before_opening FROM s)
-    SELECT plan_id, wall, before_opening, opening, least(before_hi, hi) - lo AS overlap FROM p WHERE least(before_hi, hi) - lo > 6""",
-)
 sql_query(
     "rectangle_adjacency",
     """SELECT a.plan_id, a.room AS left_room, min(b.room) AS right_room FROM rooms a JOIN rooms b ON a.plan_id = b.plan_id AND a.room <> b.room
@@ -316,16 +295,14 @@ def segment_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "arc_geometry",
-    with_views("""SELECT plan_id, idx, round(cv / 1000.0 * 50, 4) AS bulge, round(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / (2 * sin(2 * atan(abs(cv / 1000.0 * 50 / 10)))), 1) AS radius, 25 AS points FROM walls WHERE cv <> 0 AND NOT (x1 = x2 AND y1 = y2)"""),
+    with_views("""SELECT plan_id, idx, round(cv / 1000.0 * 50, 4) AS bulge, round(sqrt(CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE)) * (40000 + cv * cv) / (800.0 * abs(cv)), 1) AS radius, 25 AS points FROM walls WHERE cv <> 0 AND NOT (x1 = x2 AND y1 = y2)"""),
 )
 def arc_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arcs from endpoints and curvature; the curvature fitted to the arc's points, and its radius from three of them."""
+    """Arcs from endpoints and curvature; the curvature fitted to the arc's points, and the radius from chord and bulge."""
     k = _C("cv") / 1000.0 * 5
     w = view(spark, sf_dir, "walls").where("cv <> 0 AND NOT (x1 = x2 AND y1 = y2)").withColumn("p", geom.arc_points(_C("x1"), _C("y1"), _C("x2"), _C("y2"), k))
-    a, m, b = F.element_at("p", 1), F.element_at("p", 13), F.element_at("p", -1)
-    d = lambda u, v: F.hypot(u.x - v.x, u.y - v.y)
-    twice_area = F.abs(geom.cross(m.x - a.x, m.y - a.y, b.x - a.x, b.y - a.y))
-    radius = d(a, m) * d(m, b) * d(b, a) / (2 * twice_area)
+    chord2 = (_C("x2") - _C("x1")) * (_C("x2") - _C("x1")) + (_C("y2") - _C("y1")) * (_C("y2") - _C("y1"))
+    radius = F.sqrt(chord2.cast("double")) * (40000 + _C("cv") * _C("cv")) / (800.0 * F.abs("cv"))  # L (1 + k^2) / 4k at k = cv / 200
     return w.select("plan_id", "idx", F.round(geom.fit_curvature(_C("p")) * 10, 4).alias("bulge"), F.round(radius, 1).alias("radius"), F.size("p").alias("points"))
 
 
@@ -357,15 +334,17 @@ def grid_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "affine_fit",
-    with_views("""WITH s AS (SELECT plan_id, count(*) AS n, sum(x1) AS sx, sum(y1) AS sy, sum(x1 * x1) AS sxx, sum(y1 * y1) AS syy, sum(x1 * y1) AS sxy, sum(2 * x1 - y1 + 7) AS su, sum(x1 * (2 * x1 - y1 + 7)) AS sxu, sum(y1 * (2 * x1 - y1 + 7)) AS syu
-    FROM (SELECT plan_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM walls) AS w GROUP BY plan_id HAVING count(*) >= 3),
+    with_views("""WITH s AS (SELECT plan_id, count(*) AS n, sum(x1) AS sx, sum(y1) AS sy, sum(x1 * x1) AS sxx, sum(y1 * y1) AS syy, sum(x1 * y1) AS sxy, sum(u) AS su, sum(x1 * u) AS sxu, sum(y1 * u) AS syu
+    FROM (SELECT plan_id, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(2 * x1 - y1 + x2 % 50 AS DOUBLE) AS u FROM walls) AS w GROUP BY plan_id HAVING count(*) >= 3),
     d AS (SELECT *, n * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy) AS det FROM s)
-    SELECT plan_id, 2.0 AS a, -1.0 AS b, 7.0 AS c FROM d WHERE abs(det) > 1000000000"""),
+    SELECT plan_id, round((n * (sxu * syy - sxy * syu) - su * (sx * syy - sxy * sy) + sy * (sx * syu - sxu * sy)) / det, 4) + 0.0 AS a,
+        round((su * (sxx * syy - sxy * sxy) - sx * (sxu * syy - sxy * syu) + sy * (sxu * sxy - sxx * syu)) / det, 2) + 0.0 AS c,
+        round((n * (sxx * syu - sxu * sxy) - sx * (sx * syu - sxu * sy) + su * (sx * sxy - sxx * sy)) / det, 4) + 0.0 AS b FROM d WHERE abs(det) > 1000000000"""),
 )
 def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares of u = a x + b y + c from at least 3 pairs, by sums in one aggregation and a closed solution."""
     x, y = _C("x1").cast("double"), _C("y1").cast("double")
-    u = 2 * x - y + 7
+    u = (2 * _C("x1") - _C("y1") + _C("x2") % 50).cast("double")
     sums = {"n": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y, "su": u, "sxu": x * u, "syu": y * u}
     s = view(spark, sf_dir, "walls").groupBy("plan_id").agg(*(F.sum(v).alias(k) for k, v in sums.items())).where("n >= 3")
     n, sx, sy, sxx, syy, sxy, su, sxu, syu = (_C(k) for k in sums)
@@ -408,7 +387,12 @@ def shape_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "greedy_nearest_match",
-    None,
+    recursive("""t AS (SELECT plan_id AS pair, list({'kind': kind, 'x': px, 'y': py} ORDER BY opening) AS truth FROM openings GROUP BY plan_id),
+    g AS (SELECT plan_id + 1 AS pair, list({'kind': kind, 'x': px, 'y': py} ORDER BY opening) AS guess FROM openings GROUP BY plan_id),
+    f AS (SELECT pair, truth, guess, 1 AS k, CAST([] AS BIGINT[]) AS used FROM t JOIN g USING (pair)
+        UNION ALL SELECT pair, truth, guess, k + 1, CASE WHEN best.d <= 60 THEN list_append(used, best.i) ELSE used END
+        FROM (SELECT *, list_sort([{'d': sqrt((guess[i].x - truth[k].x) ** 2 + (guess[i].y - truth[k].y) ** 2), 'i': i} FOR i IN range(1, len(guess) + 1) IF guess[i].kind = truth[k].kind AND NOT list_contains(used, i)])[1] AS best FROM f WHERE k <= len(truth)) AS s)
+    SELECT pair, CAST(len(truth) AS INT) AS n_true, CAST(len(guess) AS INT) AS n_pred, CAST(len(used) AS INT) AS tp FROM f WHERE k = len(truth) + 1"""),
 )
 def greedy_nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Openings matched one to one with those of the next plan, in order, each to the nearest free one of its kind within 60."""

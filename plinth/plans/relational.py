@@ -9,14 +9,6 @@ from plinth.functions import taxonomy
 from plinth.planview import sql_query, table, view, with_views
 from plinth.registry import query
 
-sql_query(
-    "source_histograms",
-    """SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'size' END AS dimension,
-    coalesce(lang, source, size) AS bucket, count(*) AS n, sum(n_chars) AS chars, count(toxic) AS labelled
-    FROM (SELECT d.doc_id, lang, source, n_chars, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END AS size, toxic
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) AS t
-    GROUP BY GROUPING SETS ((lang), (source), (size))""",
-)
 
 
 @query(
@@ -34,18 +26,6 @@ def report_merge_equals_oneshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("plans", "walls", F.round(share("walls", 1.0), 2).alias("mean_walls"), F.round(share("curved", 100.0), 1).alias("pct_curved"))
 
 
-sql_query(
-    "violation_histogram",
-    """WITH broken AS (
-    SELECT 'S7' AS rule, plan_id, idx FROM walls WHERE th < 3 OR th > 18
-    UNION ALL SELECT 'S8', plan_id, idx FROM walls WHERE kind = 'door' AND (width < 25 OR width > 75)
-    UNION ALL SELECT 'C2', plan_id, idx FROM walls WHERE abs(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) - off) <= 20
-    UNION ALL SELECT 'T5', plan_id, idx FROM walls WHERE (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) < 900
-    UNION ALL SELECT 'T8', plan_id, idx FROM walls WHERE x1 = x2 AND y1 = y2)
-    SELECT rule, count(*) AS occurrences, count(DISTINCT plan_id) AS plans, min(plan_id * 1000 + idx) AS first_example,
-    round(100.0 * (1 - count(DISTINCT plan_id) * 1.0 / (SELECT count(DISTINCT l_orderkey) FROM lineitem)), 4) AS valid_pct
-    FROM broken GROUP BY rule""",
-)
 
 sql_query(
     "nan_safe_means",
@@ -163,22 +143,20 @@ sql_query("unreached_difference", "SELECT c_custkey FROM customer EXCEPT SELECT
 
 @query(
     "label_jaccard",
-    """WITH d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w[1:3])) AS s FROM documents),
-    b AS (SELECT item_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w[1:3])) AS s FROM benchmark)
+    """WITH d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS slot, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM documents),
+    b AS (SELECT item_id, row_number() OVER (ORDER BY item_id, text) - 1 AS slot, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS s FROM benchmark)
     SELECT doc_id, item_id, CAST(len(list_intersect(d.s, b.s)) AS INT) AS both_n,
-    round(len(list_intersect(d.s, b.s)) * 1.0 / greatest(len(d.s) + len(b.s) - len(list_intersect(d.s, b.s)), 1), 6) AS jaccard
-    FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id""",
+    round(len(list_intersect(d.s, b.s)) * 1.0 / greatest(len(d.s) + len(b.s) - len(list_intersect(d.s, b.s)), 1), 6) AS jaccard FROM d JOIN b ON d.slot = b.slot""",
 )
 def label_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set likeness of word beginnings of a document and its reference item."""
-    labels = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: F.substring(w, 1, 3)))
-    items = table(spark, sf_dir, "benchmark").count()
-    d = table(spark, sf_dir, "documents").select("doc_id", labels(F.col("text")).alias("a"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", labels(F.col("text")).alias("b"))
+    """Set likeness of the words of every document and of its reference item: items are numbered and dealt out by turns."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    items = table(spark, sf_dir, "benchmark")
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % items.count()).alias("slot"), words(F.col("text")).alias("a"))
+    order = Window.orderBy("item_id", "text")  # the benchmark alone
+    b = items.select("item_id", (F.row_number().over(order) - 1).cast("long").alias("slot"), words(F.col("text")).alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return d.join(b, F.col("doc_id") % items == F.col("item_id")).select(
-        "doc_id", "item_id", both.alias("both_n"), F.round(both / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), 6).alias("jaccard")
-    )
+    return d.join(b, "slot").select("doc_id", "item_id", both.alias("both_n"), F.round(both / F.greatest(F.size("a") + F.size("b") - both, F.lit(1)), 6).alias("jaccard"))
 
 
 @query(

@@ -27,6 +27,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query registered before, for SQL that builds on it."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     import plinth.plans as plans
 

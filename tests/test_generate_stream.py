@@ -110,6 +110,8 @@ def test_sinks(spark, tmp_path, plans):
     assert spark.read.json(str(tmp_path / "j")).where("split = 'val'").count() == 1
     out = sinks.portable(rows)
     assert sorted(r.image for r in out.collect()) == ["images/000000.png", "images/000001.png"]
+    many = spark.range(1000).selectExpr("concat('im', lpad(cast(id * 7919 % 1000 as string), 4, '0'), '.png') AS image", "id % 3 AS k")
+    assert [r.image for r in sinks.portable(many.unionAll(many)).orderBy("k", "image").select("image").distinct().orderBy("image").collect()] == [f"images/{k:06d}.png" for k in range(1000)]
     sinks.shards(plans.withColumn("index", F.regexp_extract("plan_id", r"(\d+)", 1).cast("int")), str(tmp_path / "s"), 25)
     assert sorted({r.shard_no for r in spark.read.json(str(tmp_path / "s/index")).collect()}) == [0, 1, 2]
     lab = labels.with_labels(plans.limit(2))
