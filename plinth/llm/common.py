@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bounds of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: The most keys that are taken for frequent, and the rows below which no key is.
-HOT_KEYS, HOT_ROWS = 2000, 20_000
+HOT_KEYS, HOT_ROWS = 2000, 500
 #: Used only in local mode (tests), where the session names no shared folder.
 LOCAL_FALLBACK = "file:///tmp/checkpoints/plinth"
 
