@@ -220,10 +220,11 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float | None = None,
     """Posterior of the toxic class for each row, from its votes alone, and the model.
 
     votes: rows by voters, 1 where a voter speaks. Expected counts under the posterior and counts over gold labels, as
-    their prior, together give rates, correlations and tree; the rounds end when posteriors hold still."""
+    their prior, together give rates, correlations and tree; the rounds end when posteriors hold still. The rounds take the
+    class share of these rows, as their counts do; the posterior that goes out takes `prior`, the share of all rows."""
     x = votes.astype(np.float64)
     n, voters = x.shape
-    prior = float(np.clip(gold.mean() if prior is None else prior, 1e-4, 1 - 1e-4))
+    share, prior = (float(np.clip(p, 1e-4, 1 - 1e-4)) for p in (gold.mean(), gold.mean() if prior is None else prior))
     post = gold  # the first round's counts are those of the prior alone
     every = np.arange(voters)
     for _ in range(rounds):
@@ -249,13 +250,14 @@ def label_model(votes: np.ndarray, gold: np.ndarray, prior: float | None = None,
             free = parent < 0
             together.append(np.clip(np.where(free, rate, (shared + 0.5 * rate) / (single[up] + 0.5)), 1e-4, 1 - 1e-4))
             alone.append(np.clip(np.where(free, rate, (single - shared + 0.5 * rate) / (size - single[up] + 0.5)), 1e-4, 1 - 1e-4))
-        model = LabelModel(prior, parent, np.where(parent < 0, 0.0, info[every, up]), np.stack(alone), np.stack(together))
+        model = LabelModel(share, parent, np.where(parent < 0, 0.0, info[every, up]), np.stack(alone), np.stack(together))
         new = model.posterior(x)
         moved = np.abs(new - post).max(initial=0)
         post = new
         if moved < 1e-3:
             break
-    return post, model
+    model.prior = prior
+    return model.posterior(x), model
 
 
 # ---- fit -------------------------------------------------------------------------------------------------------------

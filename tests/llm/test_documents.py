@@ -488,6 +488,15 @@ def test_voters_that_agree_overrule_gold():
     assert (post[wrong] > 0.5).all() and (post[quiet] < 0.5).all()
 
 
+def test_lone_voters_keep_their_say_in_a_sample_rich_in_toxic_rows():
+    """Voters that never speak together, half of the rows toxic, one in ten in the corpus."""
+    votes = np.repeat(np.eye(4), 300, axis=0)
+    votes = np.vstack([votes, np.zeros((1200, 4))])
+    gold = np.repeat([1.0, 0.0], 1200)
+    post, _ = toxicity.label_model(votes, gold, 0.1)
+    assert (post[:1200] > 0.9).all() and (post[1200:] < 0.5).all()
+
+
 def test_levels_and_telling():
     assert list(toxicity.levels(13)) == [1, 2, 3, 4, 6, 8, 12] and list(toxicity.levels(1)) == [1]
     counts = {("bad", 1): (90, 200), ("badly", 1): (50, 2), ("badly", 2): (45, 0), ("badlyx", 2): (15, 0), ("good", 1): (10, 900), ("rare", 1): (2, 0)}
