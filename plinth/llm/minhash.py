@@ -41,6 +41,8 @@ COORDINATES = 64
 MISS = 1e-8
 BLOCK_MEMBERS = 192
 BLOCK_SHINGLES = 400_000
+#: Members compared with their leader together: a row each, so a part may be small and a large list meets many tasks.
+STAR_MEMBERS = 32
 _MULTIPLIERS = hashing.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 #: The white space that parts words.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -227,8 +229,8 @@ def _star_links(docs: DataFrame, classes: DataFrame, prefix: DataFrame, leads: D
     collisions = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     likely = common.cut(told.where(collisions >= matches).select("a", "b").distinct(), "likely")
     parts = common.cut(likely.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "star-parts")
-    members = common.hot_join(likely, parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK_MEMBERS)).cast("int").alias("part"), F.lit(1).alias("role"))
-    leaders = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int") - 1)).alias("part"), F.lit(0).alias("role"))
+    members = common.hot_join(likely, parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR_MEMBERS)).cast("int").alias("part"), F.lit(1).alias("role"))
+    leaders = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / STAR_MEMBERS).cast("int") - 1)).alias("part"), F.lit(0).alias("role"))
 
     def compare(batches):
         at, lead, found = None, [], []

@@ -75,6 +75,7 @@ def test_near_duplicates_equal_brute_force(docs, corpus, percent):
 
 def test_near_duplicates_in_small_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(minhash, "STAR_MEMBERS", 3)
     assert sorted(map(tuple, minhash.near_duplicates(docs, 85).collect())) == brute_components(corpus, 85)
 
 
@@ -87,6 +88,7 @@ def test_near_duplicates_by_hot_lists(docs, corpus, monkeypatch):
 def test_near_duplicates_without_a_common_original(spark, monkeypatch):
     """Copies of copies: no leader is near all, so components grow along chains, over small and large ones."""
     monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(minhash, "STAR_MEMBERS", 3)
     rng = random.Random(3)
     rows, base = [], prose(rng, 80).split()
     for k in range(60):
