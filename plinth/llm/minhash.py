@@ -100,7 +100,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat((flat * m) >> np.uint64(32), at).astype(np.uint32) for m in _MULTIPLIERS], 1)
 
 
-def in_pieces(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
+def in_pieces(texts: list[str], most: int = 1 << 18) -> Iterator[slice]:
     """Slices of texts of about `most` characters together."""
     start = held = 0
     for k, t in enumerate(texts):
