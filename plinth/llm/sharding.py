@@ -6,11 +6,13 @@ Bounds are the even shares of all rows, so the law is `rows`: shard counts diffe
 overflows has moved from its home.
 
 The ring is cut into a fixed number of arcs. The driver sees the count of each arc (fixed by a parameter, not by the
-corpus) and decides which ranks of an arc go to which shard; documents find their rank within their arc.
+corpus) and decides which ranks of an arc go to which shard; documents find their rank within their arc. Within an arc
+they stand in the order of a hash of doc_id, size and checksum, so an arc that many documents share (a doc_id, or null,
+that a third of all rows has) is ranked in cells, one a task, and equal rows are counted before they meet: they are one
+row until their slots are dealt out, COPIES at a time. Cells change no result.
 
-Defined cases: null text has size 1; a null doc_id has a place on the ring like any value; repeated rows and equal
-doc_ids stand at one place, ordered by size and checksum, and are counted each; an empty table gives no rows; extra
-columns are dropped.
+Defined cases: null text has size 1; a null doc_id has a place on the ring like any value; documents of equal doc_ids
+stand on one arc; repeated rows are counted each; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,9 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.llm import common
+
 SHARDS = 16
 VIRTUAL_NODES = 64
 ARC_BITS = 14
+#: Rows of an arc that are ranked in one task, unless 1 / MOST_CELLS of all rows is more.
+CELL_ROWS, MOST_CELLS = 50_000, 4096
+#: Equal rows that get their slots together.
+COPIES = 1 << 16
 
 
 def ring(shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, arc_bits: int = ARC_BITS) -> list[tuple[int, int]]:
@@ -59,23 +67,61 @@ def allot(counts: dict[int, int], nodes: list[tuple[int, int]], shards: int) ->
     return out
 
 
+def _cells(keys: DataFrame, counts: dict[int, int]) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
+    """keys with _cell, and per arc of several cells (cell, rows) in order. An arc has a cell for every CELL_ROWS rows, or
+    for every 1 / MOST_CELLS of all rows if that is more, so cells are few whatever the corpus."""
+    spark = keys.sparkSession
+    size = max(CELL_ROWS, sum(counts.values()) // MOST_CELLS)
+    hot = [(arc, -(-n // size)) for arc, n in counts.items() if n > size]
+    if not hot:
+        return keys.withColumn("_cell", F.lit(0)), {}
+    split = spark.createDataFrame(hot, "_arc int, _cells int")
+    cell = F.shiftright(F.shiftrightunsigned("_mix", 33) * F.coalesce("_cells", F.lit(1)), 31).cast("int")
+    out = keys.join(F.broadcast(split), "_arc", "left").withColumn("_cell", cell).drop("_cells")  # MOST_CELLS arcs at most
+    found: dict[int, list[tuple[int, int]]] = {}
+    for r in out.where(F.col("_arc").isin([a for a, _ in hot])).groupBy("_arc", "_cell").agg(F.sum("n").alias("n")).orderBy("_arc", "_cell").collect():  # 2 * MOST_CELLS rows at most
+        found.setdefault(r._arc, []).append((r._cell, r.n))
+    return out, found
+
+
+def _by_cell(plan: list[tuple[int, int, int, int, int, int]], cells: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Ranges of allot() with ranks counted within cells: (arc, cell, from rank, below rank, home, shard, first slot)."""
+    out = []
+    for arc, low, high, home, shard, slot in plan:
+        before = 0
+        for cell, n in cells.get(arc, [(0, high)]):
+            a, b = max(low, before), min(high, before + n)
+            if a < b:
+                out.append((arc, cell, a - before, b - before, home, shard, slot + a - low))
+            before += n
+    return out
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES, arc_bits: int = ARC_BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, home_shard."""
     spark = docs.sparkSession
-    place = F.xxhash64("doc_id")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        place.alias("_place"),
-        F.shiftrightunsigned(place, 64 - arc_bits).cast("int").alias("_arc"),
+        F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - arc_bits).cast("int").alias("_arc"),
     )
-    counts = {r._arc: r.n for r in rows.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2**arc_bits rows at most
-    plan = pd.DataFrame(allot(counts, ring(shards, virtual_nodes, arc_bits), shards), columns=["_arc", "_low", "_high", "home_shard", "shard", "_slot"], dtype="int64")
-    ranges = spark.createDataFrame(plan, "_arc int, _low long, _high long, home_shard int, shard int, _slot long")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_place", "doc_id", "size", "text_crc32")) - 1)
-    return (
-        ranked.join(F.broadcast(ranges), "_arc")  # 2**arc_bits + virtual nodes rows at most
-        .where((F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") + F.col("_rank") - F.col("_low")).alias("slot"), "home_shard")
+    keys = common.cut(rows.groupBy("_arc", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "ring-keys").withColumn("_mix", F.xxhash64("doc_id", "size", "text_crc32"))
+    arcs = keys.groupBy("_arc").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()  # 2**arc_bits rows at most
+    celled, cells = _cells(keys, {r._arc: r.n for r in arcs})
+    plan = _by_cell(allot({r._arc: r.n for r in arcs}, ring(shards, virtual_nodes, arc_bits), shards), cells)
+    names = ["_arc", "_cell", "_low", "_high", "home_shard", "shard", "_slot"]
+    ranges = spark.createDataFrame(pd.DataFrame(plan, columns=names, dtype="int64"), "_arc int, _cell int, _low long, _high long, home_shard int, shard int, _slot long")
+    order = Window.partitionBy("_arc", "_cell").orderBy(F.shiftrightunsigned("_mix", 33), "_mix", "doc_id", "size", "text_crc32")
+    ranked = celled.withColumn("_end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_begin", F.col("_end") - F.col("n"))
+    first, last = F.greatest("_begin", "_low"), F.least("_end", "_high")
+    taken = (
+        ranked.join(F.broadcast(ranges), ["_arc", "_cell"])  # 2**arc_bits + virtual nodes + 2 * MOST_CELLS rows at most
+        .where(first < last)
+        .select("doc_id", "size", "text_crc32", "shard", "home_shard", (F.col("_slot") + first - F.col("_low")).alias("_from"), (last - first).alias("_take"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_take") - 1, F.lit(COPIES).cast("long"))).alias("_at"))
     )
+    if max((r.most for r in arcs), default=0) > COPIES:
+        taken = taken.repartition(common.partitions(spark), "doc_id", "_from", "_at")
+    slots = F.sequence(F.col("_from") + F.col("_at"), F.col("_from") + F.least(F.col("_at") + COPIES, F.col("_take")) - 1)
+    return taken.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.explode(slots).alias("slot"), "home_shard")
