@@ -44,15 +44,23 @@ ROOM_TYPES = {
     "sports": ("hall", "changing_room", "WC", "shower", "store", "reception", "office", "gym"),
 }
 SMALL_ROOMS = {"WC", "storage", "store", "linen_cupboard", "sluice", "server_room", "bathroom", "shower", "utility", "cold_room", "plant_room", "bin_store", "cycle_store"}
-#: Footprints and their weights; wall materials with thickness range and weight.
-FOOTPRINTS = {"rectangle": 30, "L_shape": 18, "T_shape": 8, "U_shape": 7, "rectangle_with_curved_end": 7}
-EXTERIOR = {"CAVITY_BRICK": ((270, 340), 30), "SOLID_BRICK": ((215, 330), 15), "REINFORCED_CONCRETE": ((200, 400), 25), "RAMMED_EARTH": ((350, 600), 5), "ICF_INSULATED": ((250, 350), 5)}
+#: Straight footprints and their weights; numbers of curved walls (range, weight) and the range each curved footprint may have.
+FOOTPRINTS = {"rectangle": 30, "L_shape": 18, "T_shape": 8, "U_shape": 7, "irregular_polygon": 12, "rectangle_with_bay": 8}
+CURVES = {"none": ((0, 0), 55), "one": ((1, 1), 25), "few": ((2, 3), 15), "many": ((4, 6), 5)}
+CURVED = {"rectangle_with_curved_end": (1, 1), "fully_curved_facade": (1, 3), "organic_multi_arc": (2, 6)}
+#: Wall materials with thickness range and weight.
+EXTERIOR = {"CAVITY_BRICK": ((270, 340), 30), "SOLID_BRICK": ((215, 330), 15), "REINFORCED_CONCRETE": ((200, 400), 25), "TIMBER_STUD": ((89, 140), 12), "METAL_STUD": ((70, 150), 8), "RAMMED_EARTH": ((350, 600), 5), "ICF_INSULATED": ((250, 350), 5)}
 INTERIOR = {"CONCRETE_BLOCK": ((100, 215), 35), "TIMBER_STUD": ((89, 140), 35), "METAL_STUD": ((70, 150), 30)}
+PARTITIONS = {"GLASS_PARTITION": ((50, 100), 40), "METAL_STUD": ((70, 150), 60)}
+WET_WALL, WET_THICKNESS = "WET_WALL_BLOCK", (150, 215)
 #: Opening widths in millimetres, and subtypes with weights.
 DOOR_WIDTHS, ENTRY_WIDTHS, WINDOW_WIDTHS = (700, 750, 800, 826, 900), (900, 1000, 1050), (600, 900, 1200, 1500, 1800, 2400)
 DOOR_KINDS = {"SINGLE_HINGED": 48, "DOUBLE_HINGED": 10, "SLIDING": 14, "POCKET": 11, "BIFOLD": 8, "FRENCH": 5}
 WINDOW_KINDS = {"CASEMENT": 28, "FIXED": 24, "SLIDING": 14, "BAY": 9, "AWNING": 8, "CLERESTORY": 5, "LOUVRE": 3, "CORNER": 2}
 
+#: How much a sheet is cluttered, by weight.
+CLUTTER = {"none": 40, "light": 25, "medium": 20, "heavy": 15}
+
 Cell = tuple[int, int, int, int]
 
 
@@ -70,14 +78,16 @@ def identity(index: int, seed: int) -> dict:
     if max(size) <= 8000:
         size[0] = 14 * MODULE  # plans of several rooms have a wall over 8 m
     room_limit = max(2, size[0] * size[1] // (LEAST_SIDE * 2 * LEAST_SIDE))
-    return {"kind": kind, "size": size, "rooms": min(rng.randint(*rooms), room_limit), "shape": pick(rng, FOOTPRINTS), "rotation": rng.choice([0, 0, 0, 90, 180, rng.randrange(5, 60)])}
+    arcs = rng.randint(*CURVES[pick(rng, CURVES)][0])
+    shape = rng.choice([k for k, (low, high) in CURVED.items() if low <= arcs <= high]) if arcs else pick(rng, FOOTPRINTS)
+    return {"kind": kind, "size": size, "rooms": min(rng.randint(*rooms), room_limit), "shape": shape, "arcs": arcs, "clutter": pick(rng, CLUTTER), "rotation": rng.choice([0, 0, 0, 90, 180, rng.randrange(5, 60)])}
 
 
 def footprint(shape: str, w: int, h: int, rng: random.Random) -> list[Cell]:
     """Rectangles that make up a footprint."""
     on = lambda n, lo, hi: round(n * rng.uniform(lo, hi) / MODULE) * MODULE
     x, y = on(w, 0.4, 0.6), on(h, 0.4, 0.6)
-    if min(x, y, w - x, h - y) < 2 * LEAST_SIDE or shape.startswith("rectangle"):
+    if min(x, y, w - x, h - y) < 2 * LEAST_SIDE or shape not in ("L_shape", "T_shape", "U_shape"):
         return [(0, 0, w, h)]
     if shape == "L_shape":
         return [(0, 0, w, y), (0, y, x, h)]
@@ -136,6 +146,7 @@ class Tiling:
 
     def __init__(self, rooms: list[list[Cell]]):
         self.rings = [outline(r) for r in rooms]
+        self.diagonals: list[tuple[list[int], list[int]]] = []
         cut: dict[tuple[int, int], set[int]] = {}
         sides: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for k, ring in enumerate(self.rings):
@@ -154,6 +165,26 @@ class Tiling:
                 if rooms_here:
                     self.pieces.append((axis, line, lo, hi, rooms_here))
 
+    def clip(self, corner: tuple[int, int], rng: random.Random) -> None:
+        """Cut an outer corner off by a diagonal, if its room is a rectangle with enough outer wall on both sides."""
+        here = [(k, p) for k, p in enumerate(self.pieces) if len(p[4]) == 1 and p[1] == corner[1 - p[0]] and corner[p[0]] in p[2:4]]
+        owner = {p[4] for _, p in here}
+        if len(here) != 2 or len(owner) != 1 or len(self.rings[here[0][1][4][0]]) != 4:
+            return
+        ring = self.rings[here[0][1][4][0]]
+        if any(p[3] - p[2] < MODULE + LEAST_SIDE for _, p in here):
+            return
+        ends = {}
+        for k, (axis, line, lo, hi, rooms) in here:
+            cut = rng.randrange(MODULE, min(6 * MODULE, hi - lo - LEAST_SIDE) + 1, MODULE // 2)
+            lo, hi = (lo + cut, hi) if lo == corner[axis] else (lo, hi - cut)
+            self.pieces[k] = (axis, line, lo, hi, rooms)
+            ends[axis] = at(axis, line, lo if abs(lo - corner[axis]) == cut else hi)
+        self.diagonals.append((ends[0], ends[1]))
+        i = ring.index(list(corner))
+        before = 0 if ring[i - 1][1] == corner[1] else 1  # the axis of the edge that leads to the corner
+        ring[i : i + 1] = [ends[before], ends[1 - before]]
+
     def walls(self) -> list[tuple[int, int, int, int, bool]]:
         """Runs of pieces: axis, line, from, to, exterior; a run along x stops where a wall goes through it."""
         ends: dict[tuple[int, int], int] = {}
@@ -192,15 +223,18 @@ def draw(index: int, seed: int, attempt: int, safe: bool) -> dict | None:
     tiling = Tiling(rooms)
     if any(r is None for r in tiling.rings):
         return None
+    if shape == "irregular_polygon":
+        for corner in rng.sample([(0, 0), (w, 0), (w, h), (0, h)], rng.randint(1, 2)):
+            tiling.clip(corner, rng)
     types = _types(fixed["kind"], tiling.rings, rng)
-    ext, inner = (pick(rng, m) for m in (EXTERIOR, INTERIOR))
-    wall_rows, thick = [], {True: rng.randrange(*EXTERIOR[ext][0]), False: rng.randrange(*INTERIOR[inner][0])}
-    wet = next(t for t in (110, 150, 175) if t not in thick.values())
+    inner_kinds = PARTITIONS if fixed["kind"].startswith("office") else INTERIOR
+    ext, inner = pick(rng, EXTERIOR), pick(rng, inner_kinds)
+    wall_rows, thick = [], {True: rng.randrange(*EXTERIOR[ext][0]), False: rng.randrange(*inner_kinds[inner][0])}
+    wet = rng.choice([t for t in range(*WET_THICKNESS, 5) if t not in thick.values()])
     for k, (axis, line, lo, hi, outer) in enumerate(tiling.walls(), 1):
-        t = thick[outer] if outer or k % 3 else wet
-        half = t / 2
-        band = [at(axis, line - half, lo), at(axis, line - half, hi), at(axis, line + half, hi), at(axis, line + half, lo)]
-        wall_rows.append({"id": f"W{k}", "type": "exterior" if outer else "interior", "thickness_mm": t, "length_mm": hi - lo, "centerline": [at(axis, line, lo), at(axis, line, hi)], "polygon": band, "arc": None, "material": ext if outer else inner, "angle_class": "orthogonal"})
+        wall = (ext, thick[True]) if outer else (inner, thick[False]) if k % 3 else (WET_WALL, wet)
+        wall_rows.append(_wall(k, at(axis, line, lo), at(axis, line, hi), outer, *wall))
+    wall_rows += [_wall(k, a, b, True, ext, thick[True]) for k, (a, b) in enumerate(tiling.diagonals, len(wall_rows) + 1)]
     if len({x["thickness_mm"] for x in wall_rows}) < 3:
         inside = [x for x in wall_rows if x["type"] == "interior"]
         if not inside:
@@ -209,15 +243,33 @@ def draw(index: int, seed: int, attempt: int, safe: bool) -> dict | None:
     openings, used = [], set()
     if not _doors(tiling, rng, openings, used) or not _entrance(tiling, rng, openings, used):
         return None
-    if shape == "rectangle_with_curved_end":
-        _bend(wall_rows, tiling, openings, used, rng)
+    if not safe:
+        _bend(wall_rows, tiling, openings, used, fixed["arcs"], rng)
     _windows(tiling, rng, openings, used)
+    if shape == "rectangle_with_bay":
+        max((o for o in openings if o["category"] == "window"), key=lambda o: o["width_mm"], default={})["subtype"] = "BAY"
     named = [{"id": f"R{k}", "name": t.replace("_", " ").title(), "room_type": t, "shape": _shape(ring), "polygon": ring} for k, (t, ring) in enumerate(zip(types, tiling.rings), 1)]
     plan = {"id": f"plan_{index:05d}", "group": "synthetic", "name": fixed["kind"], "description": f"{len(named)} rooms, {shape}", "units": "mm", "origin": [0, 0], "walls": wall_rows, "rooms": named, "openings": openings, "decoys": _decoys(tiling.rings, rng)}
     turn = 0 if safe else fixed["rotation"]
     if turn:
         rotate(plan, turn)
-    return finish(plan, shape, turn)
+    if any(x["arc"] for x in wall_rows):
+        _unblock(plan)
+    return finish(_cluttered(plan, fixed["clutter"], rng), shape, turn)
+
+
+def _wall(k: int, a: list[int], b: list[int], outer: bool, material: str, thickness: int) -> dict:
+    """A straight wall with its band."""
+    length = pl.dist(a, b)
+    ox, oy = (a[1] - b[1]) / length * thickness / 2, (b[0] - a[0]) / length * thickness / 2
+    band = [[round(p[0] + s * ox), round(p[1] + s * oy)] for p, s in ((a, -1), (b, -1), (b, 1), (a, 1))]
+    return {"id": f"W{k}", "type": "exterior" if outer else "interior", "thickness_mm": thickness, "length_mm": round(length), "centerline": [a, b], "polygon": band, "arc": None, "material": material, "angle_class": "orthogonal" if 0 in (ox, oy) else "diagonal"}
+
+
+def _unblock(plan: dict) -> None:
+    """Windows that a wall runs through go."""
+    blocked = {subject for subject, _ in rules.RULES["S10"](rules.Plan(plan))}
+    plan["openings"] = [o for o in plan["openings"] if o["category"] != "window" or o["id"] not in blocked]
 
 
 def _types(kind: str, rings: list, rng: random.Random) -> list[str]:
@@ -260,18 +312,16 @@ def _doors(tiling: Tiling, rng: random.Random, openings: list, used: set) -> boo
             between.setdefault(tuple(sorted(rooms)), []).append(k)
     pairs = sorted(between)
     rng.shuffle(pairs)
-    joined: list[tuple[int, int]] = []
+    part = list(range(len(tiling.rings)))
     for a, b in pairs:
-        apart = next(s for s in rules.groups(len(tiling.rings), joined) if a in s) is not next(s for s in rules.groups(len(tiling.rings), joined) if b in s)
-        together = any(a in s and b in s for s in rules.groups(len(tiling.rings), joined))
-        if (apart and not together) or rng.random() < EXTRA_DOORS:
+        if part[a] != part[b] or rng.random() < EXTRA_DOORS:
             k = rng.choice(between[a, b])
             axis, line, lo, hi, _ = tiling.pieces[k]
             if k not in used:
                 used.add(k)
                 _opening(openings, "door", pick(rng, DOOR_KINDS), _fitting([w for w in DOOR_WIDTHS if w <= rng.choice(DOOR_WIDTHS)], hi - lo - 2 * JAMB), axis, line, lo, hi, rng)
-                joined.append((a, b))
-    return sum(1 for s in rules.groups(len(tiling.rings), joined) if s != {None}) == 1
+                part = [part[a] if p == part[b] else p for p in part]
+    return len(set(part)) == 1
 
 
 def _entrance(tiling: Tiling, rng: random.Random, openings: list, used: set) -> bool:
@@ -291,13 +341,36 @@ def _windows(tiling: Tiling, rng: random.Random, openings: list, used: set) -> N
             _opening(openings, "window", pick(rng, WINDOW_KINDS), width, axis, line, lo, hi, rng)
 
 
-def _bend(walls: list, tiling: Tiling, openings: list, used: set, rng: random.Random) -> None:
-    """One outer wall without a door becomes an arc over its chord, bulging outwards; it gets no window."""
-    hosts = rules.Plan({"walls": walls, "rooms": [], "openings": openings}).hosts
-    free = [k for k, w in enumerate(walls) if w["type"] == "exterior" and k not in hosts]
-    if not free:
-        return
-    w = walls[rng.choice(free)]
+def _bend(walls: list, tiling: Tiling, openings: list, used: set, count: int, rng: random.Random) -> None:
+    """Outer walls without a door, as many as asked, become arcs over their chords; they get no window. Are there too few,
+    the longest are cut where inner walls meet them."""
+    hosts = rules.Plan({"walls": walls, "rooms": [], "openings": openings}).hosts if count else []
+    free = [w for k, w in enumerate(walls) if w["type"] == "exterior" and k not in hosts and w["angle_class"] == "orthogonal"]
+    while 0 < len(free) < count and (cut := _cut(max(free, key=lambda w: w["length_mm"]), tiling, len(walls) + 1)):
+        old, one, two = cut
+        walls[walls.index(old)] = one
+        walls.append(two)
+        free[free.index(old)] = one
+        free.append(two)
+    for w in rng.sample(free, min(count, len(free))):
+        _arc(w, tiling, used, rng)
+
+
+def _cut(wall: dict, tiling: Tiling, k: int) -> tuple[dict, dict, dict] | None:
+    """The wall, and its two parts at the junction next to its middle."""
+    a, b = wall["centerline"]
+    axis = 0 if a[1] == b[1] else 1
+    middle = (a[axis] + b[axis]) / 2
+    stops = [hi for x, line, _, hi, _ in tiling.pieces if x == axis and line == a[1 - axis] and a[axis] < hi < b[axis]]
+    if not stops:
+        return None
+    stop = at(axis, a[1 - axis], min(stops, key=lambda v: (abs(v - middle), v)))
+    own = (True, wall["material"], wall["thickness_mm"])
+    return wall, _wall(int(wall["id"][1:]), a, stop, *own), _wall(k, stop, b, *own)
+
+
+def _arc(w: dict, tiling: Tiling, used: set, rng: random.Random) -> None:
+    """Bend a wall outwards."""
     a, b = w["centerline"]
     chord = w["length_mm"]
     nx, ny = -(b[1] - a[1]) / chord, (b[0] - a[0]) / chord
@@ -326,6 +399,37 @@ def _decoys(rings: list, rng: random.Random) -> list[dict]:
     return out
 
 
+def _cluttered(plan: dict, level: str, rng: random.Random) -> dict:
+    """The plan with marks of a drawing sheet among its decoys; none is part of the building."""
+    ends = [p for w in plan["walls"] for p in w["centerline"]]
+    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*ends))
+    somewhere = lambda: [rng.randint(x0, x1), rng.randint(y0, y1)]
+    add = lambda kind, **geometry: plan["decoys"].append({"kind": kind, "geometry": geometry})
+    if level != "none":
+        y = y0 - rng.randint(400, 900)
+        add("dimension_chain", line=[[x0, y], [x1, y]], tier=1, ticks=sorted({x for w in plan["walls"] for x, _ in w["centerline"]}))
+    if level in ("medium", "heavy"):
+        x = x0 - rng.randint(400, 900)
+        add("dimension_chain", line=[[x, y0], [x, y1]], tier=1, ticks=sorted({y for w in plan["walls"] for _, y in w["centerline"]}))
+        for _ in range(rng.randint(1, 4)):
+            x, y = somewhere()
+            add("keynote", bubble=[x, y, 250], leader_to=[x + 300, y + 300], text=f"K{rng.randint(1, 30):02d}")
+    if level == "heavy":
+        add("sheet_border", rect=[x0 - 1500, y0 - 3000, x1 + 1500, y1 + 1500])
+        add("title_block", rect=[x1 - 4000, y0 - 2600, x1, y0 - 200])
+        for _ in range(rng.randint(1, 3)):
+            x, y = somewhere()
+            add("revision_cloud", around=[x, y, x + 1400, y + 1000], style="scalloped", rev=f"P{rng.randint(1, 4)}")
+        for _ in range(rng.randint(2, 6)):
+            x, y = somewhere()
+            add("noise_line", line=[[x, y], [x + rng.randint(-200, 200), y + rng.randint(-200, 200)]])
+        a, b = rng.choice(plan["walls"])["centerline"]
+        off = rng.randint(2, 4)
+        add("xref_ghost", line=[[v + off for v in a], [v + off for v in b]], note="wall drawn twice")
+    plan["clutter"] = level
+    return plan
+
+
 def rotate(plan: dict, degrees: float) -> None:
     """Turn all geometry about the origin, in whole millimetres; lengths and widths follow."""
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
@@ -345,6 +449,10 @@ def rotate(plan: dict, degrees: float) -> None:
     for d in plan["decoys"]:
         if "center" in d["geometry"]:
             d["geometry"]["center"] = turn(d["geometry"]["center"])
+        else:
+            x0, y0, x1, y1 = d["geometry"]["bbox"]
+            xs, ys = zip(*(turn(p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+            d["geometry"]["bbox"] = [min(xs), min(ys), max(xs), max(ys)]
 
 
 def finish(plan: dict, shape: str, turned: float) -> dict:
@@ -358,7 +466,7 @@ def finish(plan: dict, shape: str, turned: float) -> dict:
         "footprint": {"w": box[2] - box[0], "h": box[3] - box[1]},
         "counts": {"walls": len(plan["walls"]), "rooms": n, "openings": len(kinds), "doors": kinds.count("door"), "windows": kinds.count("window"), "decoys": len(plan["decoys"])},
         "render": {"dpi": 150, "rotation_deg": turned, "scale": "1:100"},
-        "metadata": {"schema": SCHEMA_VERSION, "footprint_shape": shape, "complexity": "simple" if n < 5 else "medium" if n < 12 else "complex", "curved": any(w["arc"] for w in plan["walls"])},
+        "metadata": {"schema": SCHEMA_VERSION, "footprint_shape": shape, "complexity": "simple" if n < 5 else "medium" if n < 12 else "complex", "curved": any(w["arc"] for w in plan["walls"]), "arcs": sum(1 for w in plan["walls"] if w["arc"]), "clutter": plan.pop("clutter", "none")},
     }
 
 
@@ -411,6 +519,8 @@ def tally(generated: DataFrame) -> DataFrame:
         F.struct(F.lit("footprint").alias("dimension"), get("$.metadata.footprint_shape").alias("value")),
         F.struct(F.lit("complexity").alias("dimension"), get("$.metadata.complexity").alias("value")),
         F.struct(F.lit("curved").alias("dimension"), get("$.metadata.curved").alias("value")),
+        F.struct(F.lit("arcs").alias("dimension"), get("$.metadata.arcs").alias("value")),
+        F.struct(F.lit("clutter").alias("dimension"), get("$.metadata.clutter").alias("value")),
         F.struct(F.lit("fell_back").alias("dimension"), F.col("fell_back").cast("string").alias("value")),
     )
     subtypes = F.transform(kinds, lambda o: F.struct(o["category"].alias("dimension"), o["subtype"].alias("value")))

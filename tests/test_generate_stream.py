@@ -1,10 +1,12 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import geom
+from plinth.functions import planar as pl
 from plinth.operators import filters, generate, incremental, labels, matching, numbering, rules, scores, sinks
 from plinth.streaming import events
 
@@ -31,6 +33,55 @@ def test_distributions(plans):
     assert sum(n.values()) == 60
 
 
+def test_identities_follow_the_tables():
+    found = [generate.identity(i, 5) for i in range(4000)]
+    for name, ((low, high), weight) in generate.CURVES.items():
+        assert sum(low <= f["arcs"] <= high for f in found) / 4000 == pytest.approx(weight / 100, abs=0.025), name
+    assert {f["shape"] for f in found} == set(generate.FOOTPRINTS) | set(generate.CURVED)
+    assert all(not f["arcs"] if f["shape"] in generate.FOOTPRINTS else f["arcs"] for f in found)
+
+
+def test_shapes_hold_what_they_promise():
+    shapes = {}
+    for index in range(400):
+        shapes.setdefault(generate.identity(index, 1)["shape"], []).append(index)
+    for shape in ("irregular_polygon", "rectangle_with_bay", "organic_multi_arc", "fully_curved_facade"):
+        for index in shapes[shape][:4]:
+            plan, _, safe = generate.one(index, 1)
+            assert rules.violations(plan) == []
+            if safe:
+                continue
+            kinds = [w["angle_class"] for w in plan["walls"]]
+            if shape == "irregular_polygon":
+                assert kinds.count("diagonal") + kinds.count("oblique") >= sum(len(r["polygon"]) == 5 for r in plan["rooms"])
+            elif shape == "rectangle_with_bay":
+                assert any(o["subtype"] == "BAY" for o in plan["openings"])
+            else:
+                assert kinds.count("curved") == plan["metadata"]["arcs"] >= 1
+
+
+def test_a_clipped_corner_keeps_the_ring_closed():
+    for corner in ((0, 0), (6000, 0), (6000, 4800), (0, 4800)):
+        tiling = generate.Tiling([[(0, 0, 6000, 4800)]])
+        tiling.clip(corner, random.Random(4))
+        (a, b), ring = tiling.diagonals[0], tiling.rings[0]
+        assert len(ring) == 5 and list(corner) not in ring and a in ring and b in ring
+        assert abs(ring.index(a) - ring.index(b)) in (1, 4) and pl.is_simple(ring)
+        assert abs(pl.area(ring)) == 6000 * 4800 - abs(a[0] - b[0]) * abs(a[1] - b[1]) / 2
+        ends = {tuple(generate.at(x, line, v)) for x, line, lo, hi, _ in tiling.pieces for v in (lo, hi)}
+        assert ends == set(map(tuple, ring))
+
+
+def test_blocked_windows_go(plans):
+    plan = json.loads(plans.first().config)
+    window = next(o for o in plan["openings"] if o["category"] == "window")
+    (x0, y0), (x1, y1) = window["p1"], window["p2"]
+    mid, off = ((x0 + x1) / 2, (y0 + y1) / 2), (y1 - y0, x0 - x1)
+    plan["walls"].append(plan["walls"][0] | {"id": "W99", "arc": None, "centerline": [[round(mid[0] - off[0]), round(mid[1] - off[1])], [round(mid[0] + off[0]), round(mid[1] + off[1])]]})
+    generate._unblock(plan)
+    assert window["id"] not in {o["id"] for o in plan["openings"]} and any(o["category"] == "door" for o in plan["openings"])
+
+
 def test_table_function(spark, plans):
     generate.register(spark)
     rows = spark.sql("SELECT * FROM generate_plans(0, 3, 3)").collect()
@@ -63,8 +114,6 @@ def test_curvature_columns(spark):
 
 
 def test_greedy_matching_equals_a_loop(spark):
-    import random
-
     rng = random.Random(8)
     rows = [([rng.randrange(100) for _ in range(rng.randrange(6))], [rng.randrange(100) for _ in range(rng.randrange(6))]) for _ in range(300)]
     df = spark.createDataFrame(rows, "t array<int>, g array<int>")
