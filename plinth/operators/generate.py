@@ -58,8 +58,9 @@ DOOR_WIDTHS, ENTRY_WIDTHS, WINDOW_WIDTHS = (700, 750, 800, 826, 900), (900, 1000
 DOOR_KINDS = {"SINGLE_HINGED": 48, "DOUBLE_HINGED": 10, "SLIDING": 14, "POCKET": 11, "BIFOLD": 8, "FRENCH": 5}
 WINDOW_KINDS = {"CASEMENT": 28, "FIXED": 24, "SLIDING": 14, "BAY": 9, "AWNING": 8, "CLERESTORY": 5, "LOUVRE": 3, "CORNER": 2}
 
-#: How much a sheet is cluttered, by weight.
-CLUTTER = {"none": 40, "light": 25, "medium": 20, "heavy": 15}
+#: Weights of how much a sheet is cluttered and how far it is turned (range in degrees).
+CLUTTER = {"none": 15, "light": 30, "medium": 30, "heavy": 25}
+ROTATIONS = {"zero": ((0, 0), 50), "small": ((1, 5), 20), "medium": ((5, 45), 20), "large": ((45, 89), 10)}
 
 Cell = tuple[int, int, int, int]
 
@@ -80,7 +81,7 @@ def identity(index: int, seed: int) -> dict:
     room_limit = max(2, size[0] * size[1] // (LEAST_SIDE * 2 * LEAST_SIDE))
     arcs = rng.randint(*CURVES[pick(rng, CURVES)][0])
     shape = rng.choice([k for k, (low, high) in CURVED.items() if low <= arcs <= high]) if arcs else pick(rng, FOOTPRINTS)
-    return {"kind": kind, "size": size, "rooms": min(rng.randint(*rooms), room_limit), "shape": shape, "arcs": arcs, "clutter": pick(rng, CLUTTER), "rotation": rng.choice([0, 0, 0, 90, 180, rng.randrange(5, 60)])}
+    return {"kind": kind, "size": size, "rooms": min(rng.randint(*rooms), room_limit), "shape": shape, "arcs": arcs, "clutter": pick(rng, CLUTTER), "rotation": round(rng.uniform(*ROTATIONS[pick(rng, ROTATIONS)][0]), 2)}
 
 
 def footprint(shape: str, w: int, h: int, rng: random.Random) -> list[Cell]:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import taxonomy
+from plinth.operators.numbering import gapless, within
 from plinth.planview import sql_query, table, view, with_views
 from plinth.registry import query
 
+_C = F.col
+
 
 
 @query(
@@ -181,10 +184,16 @@ sql_query(
     "longest_first",
     """SELECT plan_id, idx, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) DESC, idx) AS INT) AS length_rank FROM walls""",
 )
-sql_query(
+
+@query(
     "strided_sample",
     "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS slot FROM documents) AS t WHERE slot % 7 = 0",
 )
+def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document of a language, in id order."""
+    return within(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", "slot").where("slot % 7 = 0").select("doc_id")
+
+
 sql_query(
     "shard_index",
     """SELECT o_orderkey, CAST(floor((o_orderkey - 1) / 500) AS BIGINT) AS shard_no, count(*) OVER (PARTITION BY CAST(floor((o_orderkey - 1) / 500) AS BIGINT)) AS in_shard FROM orders""",
@@ -205,11 +214,18 @@ def split_of(key, share: float):
     return F.when(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / 4294967295.0 < share, "val").otherwise("train")
 
 
-sql_query(
+
+@query(
     "seeded_holdout",
     """SELECT doc_id, source, CASE WHEN k <= greatest(1, CAST(floor(n * 0.03) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM (
     SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('0|', CAST(doc_id AS VARCHAR(20)))), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) AS t""",
 )
+def seeded_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact share of each source, at least one row, by rank of a seeded hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws("|", F.md5(F.concat(F.lit("0|"), F.col("doc_id"))), F.col("doc_id")).alias("mark"))
+    ranked = within(docs, "source", "mark", "k", "n")
+    return ranked.select("doc_id", "source", F.when(_C("k") < F.greatest(F.lit(1), F.floor(_C("n") * 0.03)), "val").otherwise("train").alias("split"))
+
 
 sql_query(
     "weighted_choice",
@@ -262,7 +278,6 @@ def allow_list_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_relabel_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat, gapless names in id order without one global task: ranks by range, offset by the counts before."""
-    from plinth.operators.numbering import gapless
 
     firsts = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return gapless(firsts, "doc_id", "slot").select("doc_id", F.format_string("%06d.txt", "slot").alias("file"))

@@ -116,15 +116,17 @@ def room_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n_nationkey, n_nationkey IN (SELECT a FROM r) AS reached FROM nation""",
 )
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What can be reached from a start, by rounds over the frontier until it is empty."""
+    """What can be reached from a start, by rounds over the frontier until it is empty; each round's plan is cut where the
+    session names a checkpoint folder."""
+    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
     nation = table(spark, sf_dir, "nation")
     edges = nation.where("n_nationkey % 4 <> 3").select(_C("n_nationkey").alias("a"), ((_C("n_nationkey") * 3 + 1) % 40).alias("b"))
     reached = frontier = spark.range(1).select(_C("id").cast("int").alias("a"))
     while True:
-        frontier = frontier.join(edges, "a").select(_C("b").alias("a")).distinct().join(reached, "a", "left_anti")
+        frontier = cut(frontier.join(edges, "a").select(_C("b").alias("a")).distinct().join(reached, "a", "left_anti"))
         if frontier.isEmpty():
             break
-        reached = reached.unionAll(frontier)
+        reached = cut(reached.unionAll(frontier))
     return nation.join(reached.withColumnRenamed("a", "n_nationkey").withColumn("hit", F.lit(True)), "n_nationkey", "left").select("n_nationkey", F.coalesce("hit", F.lit(False)).alias("reached"))
 
 

@@ -141,6 +141,13 @@ def test_filters_and_numbering(spark):
     assert filters.allow_list(df, "s", []).count() == 3 == filters.allow_list(df, "s", ["z"]).count() and filters.allow_list(df, "s", ["a"]).count() == 2
     assert sorted((r.id, r.n) for r in numbering.gapless(df, "id", "n").collect()) == [(3, 0), (5, 1), (9, 2)]
     assert numbering.gapless(df.limit(0), "id", "n").count() == 0
+    rows = [(random.Random(k).choice(["a", "a", "b", None]), k) for k in range(500)]
+    groups = {}
+    for g, k in rows:
+        groups.setdefault(g, []).append(k)
+    got = numbering.within(spark.createDataFrame(rows, "g string, k long").repartition(6), "g", "k", "n", "size")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == [(g, k, groups[g].index(k), len(groups[g])) for g, k in rows]
+    assert numbering.within(got.limit(0).select("g", "k"), "g", "k", "n").count() == 0
 
 
 def test_annotations_are_one_array(spark, tmp_path):
